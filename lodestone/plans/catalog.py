@@ -1,4 +1,6 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries and their SQL oracles; importing the plans fills it."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import ranking, search, state, tools
+from lodestone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "ranking", "search", "state", "tools"]
