@@ -1,3 +1,103 @@
-"""DuckDB SQL of the operators' queries, where SQL can express them."""
+"""DuckDB SQL of the operators' queries, where SQL can express them.
 
-ORACLES: dict[str, str] = {}
+Operators 2, 3, 5 and 6 (components, template tree, merges, hypervectors) are beyond it; tests hold those
+against brute force, the tokenizer's own library and held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from lodestone.llm.licences import RULES, SENTENCES
+from lodestone.llm.quality import PRODUCTION
+from lodestone.llm.quality import RULES as QUALITY_RULES
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+TOKEN_COUNTS = rf"""
+WITH c AS (SELECT doc_id, source, lang, coalesce(text, '') AS t,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[0-9A-Za-z\x{{80}}-\x{{10FFFF}}][^\x20\x09-\x0D]*')) AS b,
+    len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+')) AS c FROM documents),
+f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY t) AS copy FROM c),
+v AS (SELECT source, lang, 'words-1' AS tokenizer, b AS n FROM f WHERE NOT copy UNION ALL SELECT source, lang, 'runs-2', c FROM f WHERE NOT copy)
+SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL HAVING count(*) <> 0 OR sum(n) <> 0
+"""
+
+_rejected = " OR ".join(f"({r.fails})" for r in QUALITY_RULES if r.name in PRODUCTION.rules)
+_bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in QUALITY_RULES)
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+h AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM g),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM h),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines_with_words FROM w LEFT JOIN p USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT ({_rejected}) AS kept, ({_bits})::BIGINT AS fail_bits FROM m
+"""
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: SHA-1 hex as base32: four bits a digit, read again five at a time.
+_BASE32 = f"array_to_string(list_transform(range(0, 32), lambda g: '{_ALPHABET}'[1 + list_sum(list_transform(range(0, 5), lambda k: (((position(s[1 + (g * 5 + k) // 4] IN '0123456789abcdef') - 1) >> (3 - (g * 5 + k) % 4)) & 1) << (4 - k)))::INT]), '')"
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p
+"""
+
+_ESC = r"regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g')"
+
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, 23 + length({_ESC.format(x="role")}) + length({_ESC.format(x="text")}) AS chars, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w AS replies FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS so_far FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(CASE WHEN role = 'assistant' OR n = total THEN so_far ELSE 0 END)::BIGINT AS formatted_chars FROM s GROUP BY conv_id
+"""
+
+_lookup = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
+
+
+def _licence_steps() -> str:
+    steps, now = [], "found"
+    for i, rule in enumerate(RULES):
+        part = "".join(f";{x};" for x in rule.sequence)
+        steps.append(f"s{i} AS (SELECT doc_id, ids, CASE WHEN contains(rest, '{part}') THEN list_append(got, '{rule.licence}') ELSE got END AS got, CASE WHEN contains(rest, '{part}') THEN replace(rest, '{part}', ';-;') ELSE rest END AS rest FROM {now})")
+        now = f"s{i}"
+    return ",\n".join(steps)
+
+
+LICENCES = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[sc]e|rights reserved|permission is hereby|redistribution|either version') THEN text END AS t FROM documents),
+x AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(t, '[.!?;:]+(\s)', chr(10) || '\1', 'g'), '\n|[.!?;:]+$'), lambda p: trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}.]+', ' ', 'g'), '\.([^\p{{N}}]|$)', ' \1', 'g')), ' +', ' ', 'g'))) AS parts FROM d),
+found AS (SELECT doc_id, list_filter(list_transform(coalesce(parts, []), lambda p: {_lookup}[p]), lambda i: i IS NOT NULL) AS ids, []::VARCHAR[] AS got, ';' || array_to_string(list_filter(list_transform(coalesce(parts, []), lambda p: {_lookup}[p]), lambda i: i IS NOT NULL), ';;') || ';' AS rest FROM x),
+{_licence_steps()}
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(list_sort(list_distinct(got)), ','), '') AS licences,
+    CASE WHEN len(ids) = 0 THEN 'none' WHEN len(got) = 0 THEN 'unknown' WHEN len(list_distinct(got)) = 1 THEN 'single' ELSE 'multiple' END AS status FROM s{len(RULES) - 1}
+"""
+
+_ITEM_WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+DECONTAMINATION = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[n:n + least(10, len(w)) - 1], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS n FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, n, k, array_to_string(w[n:n + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS n FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k)),
+h AS (SELECT g.doc_id, g.n, g.k, v.item_id FROM g JOIN v USING (k, x)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(n, n + k)) AS p FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_token_counts": TOKEN_COUNTS,
+    "op4_quality_rules": QUALITY,
+    "op7_warc": WARC,
+    "op8_chat": CHAT,
+    "op9_license_scan": LICENCES,
+    "op10_decontamination": DECONTAMINATION,
+}
