@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now rather than at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``written`` made, once nothing reads it any more."""
+    remove(df.sparkSession, df._written_at)
 
 
 def _file_system(spark: SparkSession, path: str):
