@@ -136,3 +136,53 @@ def flattened_clip(text: Column, most: int = 500) -> Column:
 def without_controls(text: Column) -> Column:
     """Text without ANSI escapes and control characters other than tab and newline."""
     return F.regexp_replace(F.regexp_replace(text, "\\x1B\\[[0-?]*[ -/]*[@-~]", ""), r"[\x00-\x08\x0B-\x1F\x7F]", "")
+
+
+#: Words never marked in a passage (fixed values).
+UNMARKED = set("documents about content docs find files the and for".split())
+
+
+def marked_ranges(text: str, query: str, most: int = 128) -> list[tuple[int, int]]:
+    """(start, length) of the query's words in a passage, accents and case aside, by start; 128 at most."""
+    plain = "".join(unicodedata.normalize("NFD", c)[0].lower()[:1] or c for c in text)
+    words = [w.lower() for part in query.split() if ":" not in part for w in re.findall(r"[^\W_]+", part)]
+    words = [w for w in words if 2 <= len(w) <= 64 and w not in UNMARKED][:32]
+    out: list[tuple[int, int]] = []
+    for word in sorted(set(words)):
+        wanted = "".join(unicodedata.normalize("NFD", c)[0] for c in word)
+        for m in re.finditer(re.escape(wanted), plain):
+            if len(out) == most:
+                break
+            out.append((m.start(), len(wanted)))
+    return sorted(out)
+
+
+def valid_keyword(keyword: Column) -> Column:
+    return keyword.rlike("^[a-z0-9_-]{1,32}$")
+
+
+def valid_link(url: Column, most: int = 2048) -> Column:
+    """A web address without white space or control characters."""
+    return (F.octet_length(url) <= most) & url.rlike(r"^https?://[^\s\p{Cntrl}]+$")
+
+
+#: Word sets of the calendar question test (fixed values).
+CALENDAR_SUBJECTS = "calendar calendars schedule agenda meeting meetings appointment appointments events".split()
+CALENDAR_EXCLUDED = (
+    "notes note file files document documents doc docs pdf transcript recording email summarize summary create add book cancel delete move "
+    "reschedule invite remind reminder set port"
+).split()
+CALENDAR_CUES = "today tomorrow tonight morning afternoon evening next upcoming now left anything something smth any have got what's whats when busy free my".split()
+
+
+def asks_about_calendar(text: Column) -> Column:
+    """A calendar word and a time cue, no word about files or changes, and not the order to schedule something."""
+    plain = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), "^>", ""))
+    words = F.split(plain, r"[^\p{L}\p{N}']+")
+    has = lambda those: F.arrays_overlap(words, F.array(*map(F.lit, those)))
+    return (plain != "") & (F.octet_length(plain) <= 160) & has(CALENDAR_SUBJECTS) & ~has(CALENDAR_EXCLUDED) & has(CALENDAR_CUES) & ~plain.rlike("^schedule (a|an|the|with) |^schedule time")
+
+
+def is_private_clip(types: Column, markers: list[str]) -> Column:
+    """A clip that carries any of the privacy markers is not kept."""
+    return F.arrays_overlap(types, F.array(*map(F.lit, markers)))

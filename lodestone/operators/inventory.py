@@ -150,3 +150,17 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same bag of rows."""
     b = b.select(a.columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def merged_progress(parts: DataFrame) -> DataFrame:
+    """Counters of parallel passes added, their flags or-ed: parts(indexed, skipped, failed, interrupted)."""
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("indexed", "skipped", "failed")], F.coalesce(F.bool_or("interrupted"), F.lit(False)).alias("interrupted"))
+
+
+def clip_stats(history: DataFrame) -> DataFrame:
+    return history.agg(F.count("*").alias("clips"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def storage_bytes(manifest: DataFrame) -> DataFrame:
+    """manifest(path, bytes) by top-level folder."""
+    return manifest.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.sum("bytes").alias("bytes"))

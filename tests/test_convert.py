@@ -41,3 +41,19 @@ def test_encodings(spark):
 def test_text_helpers(spark):
     r = spark.range(1).select(cut_bytes(F.lit("aé"), 2).alias("c"), excerpt(F.lit(" a\n b ")).alias("e"), prefix_words(F.lit("alpha beta gamma"), 12).alias("p"), human_bytes(F.lit(1234567)).alias("h"), F.octet_length(excerpt(F.lit("é" * 200))).alias("n")).first()
     assert (r.c, r.e, r.p, r.h, r.n) == ("a", "a b", "alpha beta", "1.2 MB", 183)
+
+
+def test_marks_and_validators(spark):
+    from lodestone.functions import text
+
+    assert text.marked_ranges("Café and café bar", "find cafe kind:pdf bar") == [(0, 4), (9, 4), (14, 3)]
+    r = spark.range(1).select(
+        text.valid_keyword(F.lit("ab-1")).alias("k"),
+        text.valid_keyword(F.lit("A")).alias("k2"),
+        text.valid_link(F.lit("https://a.b/c")).alias("u"),
+        text.valid_link(F.lit("file:///x")).alias("u2"),
+        text.asks_about_calendar(F.lit("> what’s on my calendar today")).alias("c"),
+        text.asks_about_calendar(F.lit("schedule a meeting tomorrow")).alias("c2"),
+        text.is_private_clip(F.array(F.lit("a"), F.lit("hidden")), ["hidden"]).alias("p"),
+    ).first()
+    assert tuple(r) == (True, False, True, False, True, False, True)
