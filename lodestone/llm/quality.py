@@ -139,4 +139,6 @@ def keep_good(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     n = len(docs.columns)
     at = {c: i for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("text", F.col(f"c{at['text']}").cast("string"))
-    return verdicts(plain, policy).where("kept").select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
+    # the row number keeps the optimizer from copying the measurements' expressions into a pushed-down filter
+    rows = verdicts(plain, policy).withColumn("_row", F.monotonically_increasing_id())
+    return rows.where("kept and _row >= 0").select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
