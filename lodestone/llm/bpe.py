@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import new_path, put_bytes
+from lodestone.llm.store import drop, new_path, put_bytes, written
 from lodestone.llm.text import pieces, span_hashes
 
 NONE = np.int64(1) << 40
@@ -484,10 +484,22 @@ def _count(path: str, flush: int = 1 << 18):
 
 
 def frequent_words(docs: DataFrame, path: str, most: int) -> list[bytes]:
-    """The ``most`` most frequent words of all texts of docs(text)."""
+    """The most frequent words of all texts of docs(text), ``most`` at most.
+
+    Counts are put into at most 512 classes by size; the largest classes that fit are taken whole, so what
+    comes to the driver is bounded, whatever the number of partitions.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = texts.mapInArrow(_count(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    ranked = written(counts.select("word", F.floor(F.log2("n") * 8).cast("int").alias("size")), "lexicon-counts")
+    left, least = most, None
+    for row in sorted(ranked.groupBy("size").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+        if row.words > left:
+            break
+        left, least = left - row.words, row["size"]
+    words = [] if least is None else [bytes(r.word) for r in ranked.where(F.col("size") >= least).select("word").collect()]
+    drop(ranked)
+    return words
 
 
 def publish(docs: DataFrame, path: str, lexicon_words: int) -> str:
