@@ -77,7 +77,7 @@ def _index(depth: int, min_words: int):
 
 
 def _spots(depth: int, min_words: int, wanted):
-    """(leaf, line, words, spot) of the lines of leaves that hold several distinct lines."""
+    """(leaf, line, spots) of the lines of leaves that hold several distinct lines; a spot is a word at its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = wanted.value
@@ -88,11 +88,10 @@ def _spots(depth: int, min_words: int, wanted):
             at = at[once]
             sizes = lines.count[at]
             begin = np.repeat(lines.first[at], sizes)
-            word = begin + np.arange(len(begin)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.record_batch(
-                [pa.array(signed(np.repeat(lines.leaf[at], sizes))), pa.array(signed(np.repeat(lines.hash[at], sizes))), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(signed(lines.spots[word]))],
-                ["leaf", "line", "words", "spot"],
-            )
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            word = begin + np.arange(len(begin)) - np.repeat(cut[:-1], sizes)
+            spots = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(lines.spots[word])))
+            yield pa.record_batch([pa.array(signed(lines.leaf[at])), pa.array(signed(lines.hash[at])), spots], ["leaf", "line", "spots"])
 
     return run
 
@@ -102,8 +101,9 @@ def templates(texts: DataFrame, index: DataFrame, depth: int, min_words: int, sh
     distinct = index.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
     distinct = written(distinct, "op3-leaves")
     wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(distinct, "leaf", bloom_log2))
-    spots = texts.mapInArrow(_spots(depth, min_words, wanted), "leaf long, line long, words int, spot long")
-    spots = written(spots.distinct(), "op3-spots")
+    each = texts.mapInArrow(_spots(depth, min_words, wanted), "leaf long, line long, spots array<long>")
+    each = written(each.groupBy("leaf", "line").agg(F.any_value("spots").alias("spots")), "op3-spots")
+    spots = each.select("leaf", "line", F.size("spots").alias("words"), F.explode("spots").alias("spot"))
     constant = spots.groupBy("leaf", "spot").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf", "spot")
     kept = spots.join(constant, ["leaf", "spot"])
     folded = kept.groupBy("leaf", "line", "words").agg(F.count("*").alias("constant"), F.bit_xor(F.xxhash64("spot")).alias("template"))
@@ -155,7 +155,8 @@ def drop_recurring_lines(docs: DataFrame, counts: bool = False, **settings) -> D
     n, text_at = len(docs.columns), docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     key = F.col(f"c{docs.columns.index('doc_id')}").cast("long")
-    joined = plain.join(drops, key == F.col("_drop_id"), "left").select(*plain.columns, "_drop")
+    # the drops grow with the corpus, so this is never a broadcast join
+    joined = plain.join(drops.hint("merge"), key == F.col("_drop_id"), "left").select(*plain.columns, "_drop")
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     schema = schema.replace(f"c{text_at} {docs.schema['text'].dataType.simpleString()}", f"c{text_at} string")
     out = joined.mapInArrow(_cut(n, text_at, counts), schema + (", n_lines long, n_dropped long" if counts else ""))
