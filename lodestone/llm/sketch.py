@@ -47,7 +47,8 @@ def merged(rows: DataFrame, dtype: str, width: int, how: str) -> np.ndarray:
     second = first.mapInArrow(merge, "slice int, data binary").repartition(SLICES, "slice")
     out = np.zeros(width, dtype)
     step = width // SLICES
-    for row in second.mapInArrow(merge, "slice int, data binary").toLocalIterator():
+    # at most one row a slice: the sketch's own fixed size
+    for row in second.mapInArrow(merge, "slice int, data binary").collect():
         part = out[row.slice * step : (row.slice + 1) * step]
         np.copyto(part, np.frombuffer(bytes(row.data), dtype))
     return out
