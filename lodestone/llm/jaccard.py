@@ -130,6 +130,14 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def may_differ(n: int, num: int, den: int) -> bool:
+    """A set of n tokens can be similar to one that isn't equal to it.
+
+    The nearest such set holds all n tokens and one more; one that lacks a token is no nearer, as (n - 1) / n < n / (n + 1).
+    """
+    return den * n >= num * (n + 1)
+
+
 def _prefix(tokens: np.ndarray, common: np.ndarray, classes: np.ndarray, shift: np.uint64, order: np.uint64, size: int) -> np.ndarray:
     boilerplate = classes[(tokens >> shift).astype(np.int64)].astype(U64)
     # steps of two bits of expected frequency, at most 255 of them
@@ -152,8 +160,8 @@ def _prefixes(k: int, num: int, den: int, classes, sketch_log2: int, wanted=None
             keep, sets, orders = [], [], ([], [], [])
             for r, s, common in shingle_sets(batch.column("text"), k, word_bits, shift):
                 size = prefix_size(len(s), num, den)
-                # a set too small to lose one token can only equal another
-                if len(s) and size >= 2:
+                # a set that no set of one token more may contain can only equal another
+                if len(s) and may_differ(len(s), num, den):
                     keep.append(r)
                     sets.append(s)
                     for held, order in zip(orders, _ORDERS if wanted is not None else _ORDERS[:1]):

@@ -66,6 +66,27 @@ def test_equals_brute_force(spark, k, num):
     assert run(spark, docs, k=k, num=num) == brute(docs, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "n"), [(3, 90, 9), (5, 80, 4)])
+def test_small_sets_inside_larger_ones(spark, k, num, n):
+    docs = []
+    for size in range(1, n + 4):
+        # texts of that many shingles, one with a word more at its end, one with a word more at its start, and one with a word changed
+        for way in range(3):
+            words = [f"s{size}_{way}_{i}" for i in range(size + k - 1)]
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join([words + ["x"], ["x", *words], words[:-1] + ["x"]][way]))]
+    out = run(spark, docs, k=k, num=num)
+    assert out == brute(docs, k, num, 100)
+    joined = {out[a][0] for a, _ in docs[::2] if out[a + 1][1] == a}
+    assert min(joined) == n
+
+
+def test_only_sets_with_no_similar_neighbour_are_left_out():
+    for num, den in ((90, 100), (80, 100), (2, 3), (1, 2), (100, 100)):
+        for n in range(1, 40):
+            similar = any(den * common >= num * (n + m - common) for m in range(1, 80) for common in range(min(n, m) + 1) if not common == n == m)
+            assert jaccard.may_differ(n, num, den) == similar
+
+
 def test_repeated_ids_tables_and_columns(spark):
     long = " ".join(f"w{i}" for i in range(50))
     assert run(spark, []) == {}
