@@ -2,9 +2,10 @@
 
 A line is a run of words between newlines. The tree's first level is the number of words, the next
 ``depth`` levels are the leading words, where a word with a digit counts as a variable field. Inside a
-leaf, a word is constant at its position if at least two distinct lines of the leaf have it there; the
-others generalise to variable fields, provided at least ``share`` of the line's words stay constant
-(else the line is its own template). A template that comes in ``min_docs`` documents or more is
+leaf, a word is constant at its position if more than half as many distinct lines of the leaf have it
+there as have the line's other constant words; the rest generalise to variable fields, provided at least
+``share`` of the line's words stay constant (else the line is its own template). Templates of a leaf that
+are lines of one template by the same rule become one, until none changes. A template that comes in ``min_docs`` documents or more is
 recurring: its lines stay in the first document (smallest doc_id) and are dropped from all others.
 
 Lines of fewer than ``min_words`` words are left alone. Counting is by (leaf, position, word) sums, so no
@@ -76,8 +77,8 @@ def _index(depth: int, min_words: int):
     return run
 
 
-def _spots(depth: int, min_words: int, wanted):
-    """(leaf, line, spots) of the lines of leaves that hold several distinct lines; a spot is a word at its place."""
+def _spots(depth: int, min_words: int, share: float, wanted):
+    """(leaf, line, words, spots) of the lines of leaves that hold several distinct lines; a spot is a word at its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = wanted.value
@@ -91,23 +92,62 @@ def _spots(depth: int, min_words: int, wanted):
             cut = np.concatenate([[0], np.cumsum(sizes)])
             word = begin + np.arange(len(begin)) - np.repeat(cut[:-1], sizes)
             spots = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(lines.spots[word])))
-            yield pa.record_batch([pa.array(signed(lines.leaf[at])), pa.array(signed(lines.hash[at])), spots], ["leaf", "line", "spots"])
+            yield pa.record_batch([pa.array(signed(lines.leaf[at])), pa.array(signed(lines.hash[at])), pa.array(sizes.astype(np.int32)), spots], ["leaf", "line", "words", "spots"])
 
     return run
 
 
+def _fold(nodes: DataFrame, share: float) -> DataFrame:
+    """(leaf, line, words, template, spots): what stays constant of each node (leaf, line, words, spots) that shares enough words.
+
+    A line needs ``need`` constant words. The count of its ``need``-th most frequent word shows how large its
+    family is; words that more than half of that many nodes of the leaf have are constant. The rarest words
+    thus stay fields, however often their values recur in a large leaf.
+    """
+    spots = nodes.select("leaf", "line", "words", F.explode("spots").alias("spot"))
+    common = spots.groupBy("leaf", "spot").agg(F.count("*").alias("lines")).where("lines > 1")
+    seen = spots.join(common, ["leaf", "spot"]).groupBy("leaf", "line", "words").agg(F.sort_array(F.collect_list(F.struct("lines", "spot")), asc=False).alias("seen"))
+    need = F.ceil(F.lit(share) * F.col("words") - F.lit(1e-9)).cast("int")
+    family = F.get(F.col("seen.lines"), need - 1)
+    constant = F.filter("seen", lambda x: 2 * x.lines > F.col("family"))
+    out = seen.withColumn("family", family).where("family is not null").select("leaf", "line", "words", F.array_sort(F.transform(constant, lambda x: x.spot)).alias("spots"))
+    return out.select("leaf", "line", "words", F.xxhash64("spots").alias("template"), "spots")
+
+
 def templates(texts: DataFrame, index: DataFrame, depth: int, min_words: int, share: float, bloom_log2: int) -> DataFrame:
-    """(leaf, line, template) of lines that generalise."""
+    """(leaf, line, template) of lines that generalise.
+
+    Templates are folded again among themselves until none changes: each then counts once, so neither a
+    frequent field value nor a larger template of the leaf hides that two templates are one.
+    """
     distinct = index.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
     distinct = written(distinct, "op3-leaves")
     wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(distinct, "leaf", bloom_log2))
-    each = texts.mapInArrow(_spots(depth, min_words, wanted), "leaf long, line long, spots array<long>")
-    each = written(each.groupBy("leaf", "line").agg(F.any_value("spots").alias("spots")), "op3-spots")
-    spots = each.select("leaf", "line", F.size("spots").alias("words"), F.explode("spots").alias("spot"))
-    constant = spots.groupBy("leaf", "spot").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf", "spot")
-    kept = spots.join(constant, ["leaf", "spot"])
-    folded = kept.groupBy("leaf", "line", "words").agg(F.count("*").alias("constant"), F.bit_xor(F.xxhash64("spot")).alias("template"))
-    return folded.where(F.col("constant") >= F.lit(share) * F.col("words")).where("constant < words").select("leaf", "line", "template")
+    each = texts.mapInArrow(_spots(depth, min_words, share, wanted), "leaf long, line long, words int, spots array<long>")
+    each = written(each.groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.any_value("spots").alias("spots")), "op3-spots")
+    step = written(_fold(each, share), "op3-fold")
+    lines, moves = step.select("leaf", "line", "template"), []
+    while True:
+        nodes = step.groupBy("leaf", "template").agg(F.any_value("words").alias("words"), F.any_value("spots").alias("spots"))
+        step = written(_fold(nodes.withColumnRenamed("template", "line"), share), "op3-fold")
+        moved = step.where("template <> line")
+        if moved.isEmpty():
+            break
+        moves.append(moved.select("leaf", F.col("line").alias("template"), F.col("template").alias("wider")))
+        # only leaves where a template lost a word can change again
+        step = step.join(moved.select("leaf").distinct(), "leaf", "left_semi")
+    # from the last round to the first: where each template ends
+    ends = None
+    for move in reversed(moves):
+        if ends is None:
+            ends = move
+            continue
+        later = ends.select("leaf", F.col("template").alias("wider"), F.col("wider").alias("end"))
+        gone = move.join(later, ["leaf", "wider"], "left").select("leaf", "template", F.coalesce("end", "wider").alias("wider"))
+        ends = written(gone.unionByName(ends.join(move, ["leaf", "template"], "left_anti")), "op3-ends")
+    if ends is None:
+        return lines
+    return lines.join(ends, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("wider", "template").alias("template"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = 3, min_words: int = 6, min_docs: int = 2, share: float = 0.7, bloom_log2: int = 23) -> DataFrame:

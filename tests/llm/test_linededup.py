@@ -1,3 +1,5 @@
+import random
+
 from lodestone.llm.linededup import drop_recurring_lines
 
 PASSAGE = " ".join(f"word{chr(97 + i % 26)}" for i in range(60))
@@ -20,6 +22,29 @@ def test_variable_fields_generalise(spark):
     assert out[1] == docs[0][1] and out[2] == "" and out[3] == "" and out[4] == docs[3][1]
 
 
+def word(i):
+    return "".join(chr(97 + i // 26**p % 26) for p in range(3))
+
+
+def test_two_fields_generalise_whatever_the_number_of_lines(spark):
+    rng = random.Random(4)
+    line = "Dear reader this {} was sent to the town of {} by our main office"
+    for n in (30, 3000):
+        # values dealt evenly, and half of all lines with the same one
+        for pick in (lambda: rng.randrange(200), lambda: rng.randrange(200) * rng.randrange(2)):
+            docs = [(i, line.format("f" + word(pick()), "t" + word(pick()))) for i in range(n)]
+            assert {k for k, text in run(spark, docs).items() if text} == {0}
+
+
+def test_a_small_template_beside_a_large_one_with_the_same_values(spark):
+    large = "We wish you all a pleasant stay in the town of {} this year"
+    small = "We wish you good luck with every new house very near {} its hills"
+    docs = [(i, large.format(word(i % 20)) + f" {word(i)}") for i in range(1000)] + [(1000 + i, small.format(word(i)) + " now") for i in range(20)]
+    # same number of words, same head, and the field at one place
+    assert len({len(text.split()) for _, text in docs}) == 1
+    assert {k for k, text in run(spark, docs).items() if text} == {0, 1000}
+
+
 def test_digits_are_variable(spark):
     docs = [(i, f"request {i} took {i * 7} ms on host h{i}") for i in range(1, 4)]
     assert run(spark, docs) == {1: docs[0][1], 2: "", 3: ""}
