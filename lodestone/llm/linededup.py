@@ -1,8 +1,8 @@
 """Line dedup through a fixed-depth log-template tree.
 
 A line is a run of words between newlines. The tree's first level is the number of words, the next
-``depth`` levels are the leading words, where a word with a digit counts as a variable field. Inside a
-leaf, a word is constant at its position if more than half as many distinct lines of the leaf have it
+``depth`` levels are the leading words, where a word with a digit counts as a variable field; only a line with fewer words without
+a digit than with one is taken as it stands, and recurs only where all of it does. Inside a leaf, a word is constant at its position if more than half as many distinct lines of the leaf have it
 there as have the line's other constant words; the rest generalise to variable fields, provided at least
 ``share`` of the line's words stay constant (else the line is its own template). Templates of a leaf that
 are lines of one template by the same rule become one, until none changes. A template that comes in ``min_docs`` documents or more is
@@ -37,14 +37,14 @@ NEWLINE = 10
 
 
 class Lines:
-    """Lines of a piece: hash with variable fields masked, leaf of the tree, word count."""
+    """Lines of a piece: hash with variable fields masked, leaf of the tree, count of words and of those without a digit."""
 
     def __init__(self, column: pa.Array, depth: int):
         raw, offsets = buffers(column)
         words = Words(raw, offsets, SPACED, np.arange(256, dtype=np.uint8))
         hashes = words.hashes()
         digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-        self.tokens = np.where(digits[words.ends] > digits[words.starts], _FIELD, hashes)
+        fields = digits[words.ends] > digits[words.starts]
         breaks = np.flatnonzero(raw == NEWLINE)
         # a line starts at a text's first byte and after each newline
         starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
@@ -52,6 +52,11 @@ class Lines:
         self.row = np.searchsorted(offsets, starts, "right") - 1
         self.first = np.searchsorted(words.starts, np.append(starts, len(raw)))
         self.count = np.diff(self.first)
+        held = np.concatenate([[0], np.cumsum(~fields)])
+        self.plain = held[self.first[1:]] - held[self.first[:-1]]
+        # a line that is mostly numbers is data, and only equals itself
+        fields &= np.repeat(2 * self.plain >= self.count, self.count)
+        self.fields, self.tokens = fields, np.where(fields, _FIELD, hashes)
         heads = np.searchsorted(starts, offsets[:-1])
         self.number = np.arange(len(starts)) - heads[self.row]
         place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], self.count)
@@ -78,19 +83,21 @@ def _index(depth: int, min_words: int):
 
 
 def _spots(depth: int, min_words: int, share: float, wanted):
-    """(leaf, line, words, spots) of the lines of leaves that hold several distinct lines; a spot is a word at its place."""
+    """(leaf, line, words, spots) of the lines of leaves that hold several distinct lines; a spot is a word without a digit at its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = wanted.value
         for batch in pieces(batches, "text"):
             lines = Lines(batch.column("text"), depth)
-            at = np.flatnonzero((lines.count >= min_words) & bloom.has(lines.leaf))
+            # digits are fields already: a line with too few other words can't be of a template
+            at = np.flatnonzero((lines.count >= min_words) & (lines.plain >= share * lines.count - 1e-9) & bloom.has(lines.leaf))
             _, once = np.unique(lines.hash[at], return_index=True)
             at = at[once]
             sizes = lines.count[at]
             begin = np.repeat(lines.first[at], sizes)
-            cut = np.concatenate([[0], np.cumsum(sizes)])
-            word = begin + np.arange(len(begin)) - np.repeat(cut[:-1], sizes)
+            word = begin + np.arange(len(begin)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            word = word[~lines.fields[word]]
+            cut = np.concatenate([[0], np.cumsum(lines.plain[at])])
             spots = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(lines.spots[word])))
             yield pa.record_batch([pa.array(signed(lines.leaf[at])), pa.array(signed(lines.hash[at])), pa.array(sizes.astype(np.int32)), spots], ["leaf", "line", "words", "spots"])
 

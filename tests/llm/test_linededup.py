@@ -50,6 +50,20 @@ def test_digits_are_variable(spark):
     assert run(spark, docs) == {1: docs[0][1], 2: "", 3: ""}
 
 
+def test_rows_of_numbers_stay_unless_they_are_equal(spark):
+    rows = ["12 7 2019 3.5 44 81", "9 1 1987 0.2 6 5", "12 7 2019 3.5 44 82", "sum 7 2019 3.5 of 82 3 4", "sum 8 2018 3.6 of 81 3 4", "12 7 2019 3.5 44 81"]
+    assert run(spark, list(enumerate(rows))) == dict(enumerate([*rows[:-1], ""]))
+
+
+def test_digits_do_not_count_as_constant_words(spark):
+    line = "the total of {} is 7 in {} and {} to 9"
+    few = [(i, line.format(word(i), word(30 + i), word(60 + i))) for i in range(4)]
+    assert run(spark, few) == dict(few)
+    # one field that holds now a word, now a number
+    mixed = [(i, f"the parcel for room {x} was left with the guard at the gate") for i, x in enumerate(["blue", "12", "green", "7", "red"])]
+    assert {k for k, text in run(spark, mixed).items() if text} == {0}
+
+
 def test_short_lines_stay(spark):
     docs = [(1, "Of."), (2, "Of."), (3, "a b c d e"), (4, "a b c d e")]
     assert run(spark, docs) == dict(docs)
