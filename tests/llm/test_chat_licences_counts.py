@@ -43,6 +43,28 @@ def test_licences(spark):
     assert out[4][2] == ("MIT", "Proprietary")
 
 
+def test_wrapped_licences(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+    header = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance
+ * with the License. You may obtain a copy
+ * of the License at
+ *
+ *     http://x
+ */"""
+    lines = "Some title\nReleased under the MIT License\nAll rights reserved\nand more text"
+    rows = [(1, bsd), (2, header), (3, header.replace("\n", "\r\n")), (4, lines), (5, "All rights\nreserved."), (6, "All rights\n\nreserved.")]
+    out = {r.doc_id: (r.sentence_ids, r.status) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apache = (["Apache2Ref", "Apache2Comply", "Apache2Copy"], "single")
+    assert out == {1: (["BsdGrant", "BsdSource"], "unknown"), 2: apache, 3: apache, 4: (["MitRef", "AllRights"], "multiple"), 5: (["AllRights"], "single"), 6: ([], "none")}
+
+
 CHANGES = "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
 
 
