@@ -9,16 +9,25 @@ All three orders put frequent tokens last: first by a fixed-size count sketch of
 boilerplate, then by the expected frequency of the shingle's words, from a sketch of word counts. They
 differ in the permutation inside a frequency class. Any order gives exact results.
 
+A token at place p of a set of n says more than that it is shared: if it is the first that two sets share,
+none of the p before it is common, so the partner can have at most ``(n - p) (1 + t) / t - n`` tokens. Both
+sides must allow the other's size. A pair that links passes in the bucket of its first common token.
+
 Dense groups never give all pairs. Equal sets collapse to one representative first. Each token bucket
-proposes pairs with a few pivots only; histograms of the sets bound what two texts can share and dismiss
-most pairs that don't link without moving their sets; links found that way are contracted to components; afterwards
-only pairs of a bucket that still lie in different components are compared, each once, in the bucket
-of its first common prefix token. What is left out could only link documents already connected.
+proposes pairs with one pivot, the set in which the token comes earliest: it holds the fewest tokens of its
+own, so it lies in the middle of its group. Links found are contracted to components; afterwards only
+buckets that still hold several components are looked at. While their pairs would outnumber their rows by
+far and a further pivot still ties components together, another round with other pivots follows; the pairs of
+different components that are left are then compared. What is left out could only link documents already connected.
+
+Shingles are told apart by 64-bit hashes of 64-bit word hashes. Sets are made again from the texts, for
+documents of candidate pairs only: they are the bulk of what could be stored or moved.
 
 Defined cases: null, empty and word-less texts have no shingles and link with nothing; a text of fewer
-than k words is one shingle; rows sharing a doc_id are one document, linked through any of their texts;
-an empty
-text under such an id stays alone; a null doc_id comes back with a null component; other columns are ignored.
+than k words is one shingle; a text of any length is taken whole; equal rows have equal sets; rows sharing a
+doc_id are one document, linked through any of their texts; an empty text under such an id stays alone; a
+null doc_id comes back with a null component and links nothing; an empty table gives no rows; other columns
+are ignored, whatever their names; of a class the smallest doc_id names it, so ties don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
@@ -36,8 +45,10 @@ from lodestone.llm.sketch import SLICES, bloom_of, emit, merged
 from lodestone.llm.store import drop, written
 from lodestone.llm.text import U64, Words, buffers, gram_hashes, mix, pieces, signed
 
-#: Pivots of a bucket are the ids nearest to these bit patterns.
-PIVOTS = (0, 0x2D51_6A3B_9C47_E15D, 0x6E93_15CA_5B38_7AA6, 0x1B7C_F3E4_A6D2_9433)
+#: Rounds of pivots beyond the first, and how many pairs a row of the open buckets may stand for before one is worth it.
+ROUNDS, PAIRS_A_ROW = 4, 8
+#: Places of a token beyond this one rank alike when pivots are chosen.
+LAST_PLACE = 4095
 _ORDERS = (U64(0), U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25))
 
 
@@ -130,14 +141,6 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def may_differ(n: int, num: int, den: int) -> bool:
-    """A set of n tokens can be similar to one that isn't equal to it.
-
-    The nearest such set holds all n tokens and one more; one that lacks a token is no nearer, as (n - 1) / n < n / (n + 1).
-    """
-    return den * n >= num * (n + 1)
-
-
 def _prefix(tokens: np.ndarray, common: np.ndarray, classes: np.ndarray, shift: np.uint64, order: np.uint64, size: int) -> np.ndarray:
     boilerplate = classes[(tokens >> shift).astype(np.int64)].astype(U64)
     # steps of two bits of expected frequency, at most 255 of them
@@ -146,150 +149,119 @@ def _prefix(tokens: np.ndarray, common: np.ndarray, classes: np.ndarray, shift:
     return tokens[np.argsort(key, kind="stable")[:size]]
 
 
-def _prefixes(k: int, num: int, den: int, classes, sketch_log2: int, wanted=None):
-    """First-order prefixes of all documents; with ``wanted``, the sizes and all prefixes of those documents."""
+def _prefixes(k: int, num: int, den: int, classes, sketch_log2: int):
+    """(doc_id, n, pre): sizes and first-order prefixes of all texts with words."""
     shift = U64(64 - sketch_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, word_bits = classes.value
         for batch in pieces(batches, "text"):
-            if wanted is not None:
-                batch = _only(batch, wanted)
-            if not batch.num_rows:
-                continue
-            keep, sets, orders = [], [], ([], [], [])
+            keep, sizes, held = [], [], []
             for r, s, common in shingle_sets(batch.column("text"), k, word_bits, shift):
-                size = prefix_size(len(s), num, den)
-                # a set that no set of one token more may contain can only equal another
-                if len(s) and may_differ(len(s), num, den):
+                if len(s):
                     keep.append(r)
-                    sets.append(s)
-                    for held, order in zip(orders, _ORDERS if wanted is not None else _ORDERS[:1]):
-                        held.append(_prefix(s, common, table, shift, order, size))
-            ids = _ids(batch).take(pa.array(keep, pa.int64()))
-            if wanted is None:
-                yield pa.record_batch([ids, _longs(orders[0])], ["doc_id", "pre"])
-            else:
-                yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), _binary([cell_bytes(histogram(s)) for s in sets]), *map(_longs, orders)], ["doc_id", "n", "hist", "pre", "pre2", "pre3"])
+                    sizes.append(len(s))
+                    held.append(_prefix(s, common, table, shift, _ORDERS[0], prefix_size(len(s), num, den)))
+            yield pa.record_batch([_ids(batch).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), _longs(held)], ["doc_id", "n", "pre"])
 
     return run
 
 
-def _only(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
-    """Rows whose id may be among the wanted."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array(wanted.value.has(np.ascontiguousarray(ids, dtype=np.int64))))
-
-
-def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Counts of a set's tokens by their low bits; about four tokens a cell, 128 to 4096 cells.
-
-    Shared tokens fall into the same cells on both sides, so the sum of cell-wise minima exceeds the
-    intersection only by chance meetings of tokens that are not shared: a close upper bound, never below.
-    """
-    cells = 1 << min(12, max(7, int(len(tokens) // 4).bit_length()))
-    return np.bincount((tokens & U64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-
-
-def cell_bytes(cells: np.ndarray) -> bytes:
-    """A histogram in bytes. A cell beyond 255 would make the bound too low, so such a text gets one that says nothing."""
-    return cells.astype(np.uint8).tobytes() if cells.max(initial=0) < 256 else b""
-
-
-def most_common(x: np.ndarray, y: np.ndarray) -> int:
-    """Upper bound of the intersection of two sets from their histograms; the larger one is folded."""
-    cells = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
-
-
-def _bounded(num: int, den: int):
-    """Pairs whose histograms allow the similarity."""
+def _whole(k: int, num: int, den: int, classes, sketch_log2: int, wanted):
+    """(doc_id, data) of the wanted documents: the set's size, prefixes of the other two orders, the set."""
+    shift = U64(64 - sketch_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
-            keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.uint32)
-                common = most_common(x, y) if len(x) and len(y) else int(min(n_a[i], n_b[i]))
-                keep[i] = den * common >= num * (n_a[i] + n_b[i] - common)
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        table, word_bits = classes.value
+        for batch in pieces(batches, "text"):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(wanted.value.has(np.ascontiguousarray(ids, dtype=np.int64))))
+            if not batch.num_rows:
+                continue
+            keep, data = [], []
+            for r, s, common in shingle_sets(batch.column("text"), k, word_bits, shift):
+                if len(s):
+                    keep.append(r)
+                    pre = [_prefix(s, common, table, shift, order, prefix_size(len(s), num, den)) for order in _ORDERS[1:]]
+                    data.append(b"".join(x.tobytes() for x in (np.array([len(s)], U64), *pre, s)))
+            yield pa.record_batch([_ids(batch).take(pa.array(keep, pa.int64())), _binary(data)], ["doc_id", "data"])
 
     return run
 
 
-def _tokens(k: int, wanted):
-    """Whole sets of the wanted documents."""
+def _opened(data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(second prefix, third prefix, set) of what ``_whole`` packed behind the set's size."""
+    x = np.frombuffer(data.as_buffer(), U64)
+    n, p = int(x[0]), (len(x) - 1 - int(x[0])) // 2
+    return x[1 : p + 1], x[p + 1 : 2 * p + 1], x[len(x) - n :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            batch = _only(batch, wanted)
-            if batch.num_rows:
-                yield pa.record_batch([_ids(batch), _binary([s.tobytes() for _, s, _ in shingle_sets(batch.column("text"), k)])], ["doc_id", "tokens"])
 
-    return run
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two arrays without repeats."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _verify(num: int, den: int):
+    """Of pairs (a, b, data_a, data_b) those whose prefixes meet in the second and third orders and whose sets are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = den * common >= num * (len(both) - common)
+                (x2, x3, x), (y2, y3, y) = _opened(x), _opened(y)
+                if _common(x2, y2) and _common(x3, y3):
+                    common = _common(x, y)
+                    keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
 
 
-def _close(num: int, n: Column, den: int, m: Column) -> Column:
-    """Sizes alone allow the similarity."""
-    return (den * F.least(n, m)) >= (num * F.greatest(n, m))
-
-
-def _links(pairs: DataFrame, meta: DataFrame, named: DataFrame, k: int, num: int, den: int, bloom_log2: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose filters meet in every order and whose sets are similar.
-
-    The bound from histograms comes first, then the other orders. Sets are made again from the texts, only for documents that passed the filters: they are the bulk of
-    what could be stored or moved.
-    """
-    for side in "ab":
-        pairs = pairs.join(meta.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}")), side)
-    pairs = pairs.where(_close(num, F.col("n_a"), den, F.col("n_b")))
-    for side in "ab":
-        pairs = pairs.join(meta.select(F.col("doc_id").alias(side), F.col("hist").alias(f"hist_{side}")), side)
-    pairs = written(pairs.select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_bounded(num, den), "a long, b long"), "op2-bounded")
-    if pairs.isEmpty():
-        return pairs
-    near = pairs
-    for side in "ab":
-        near = near.join(meta.select(F.col("doc_id").alias(side), F.col("pre2").alias(f"p2_{side}"), F.col("pre3").alias(f"p3_{side}")), side)
-    bounded, pairs = pairs, written(near.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "op2-pairs")
-    drop(bounded)
+def _links(pairs: DataFrame, named: DataFrame, whole, bloom_log2: int) -> DataFrame:
+    """Links (a, b) among distinct candidate pairs (a, b)."""
+    spark, (k, num, den, classes, sketch_log2) = named.sparkSession, whole
+    pairs = written(pairs, "op2-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    wanted = named.sparkSession.sparkContext.broadcast(bloom_of(ends, "doc_id", bloom_log2))
-    sets = named.mapInArrow(_tokens(k, wanted), "doc_id long, tokens binary")
+    wanted = spark.sparkContext.broadcast(bloom_of(ends, "doc_id", bloom_log2))
+    sets = named.mapInArrow(_whole(k, num, den, classes, sketch_log2, wanted), "doc_id long, data binary")
+    sets = written(sets.join(ends.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "data"]), "op2-whole")
     both = pairs
     for side in "ab":
-        both = both.join(sets.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
-    out = written(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(num, den), "a long, b long"), "op2-links")
+        both = both.join(sets.select(F.col("doc_id").alias(side), F.col("data").alias(f"data_{side}")), side)
+    out = written(both.select("a", "b", "data_a", "data_b").mapInArrow(_verify(num, den), "a long, b long"), "op2-links")
+    wanted.unpersist()
     drop(pairs)
+    drop(sets)
     return out
 
 
-def _open_rows(busy: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, rep, comp) of buckets of three or more whose members lie in several components.
-
-    The two members of a bucket of two were compared: one of them was its pivot.
-    """
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, rep, n, hi, p, comp) rows of buckets whose members lie in several components and still allow each other's sizes."""
     label = components(links).withColumnRenamed("id", "rep")
-    placed = busy.select("token", "rep").join(label, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("token")
-    return written(placed.join(mixed, "token", "left_semi"), "op2-open")
+    placed = rows.drop("comp").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    bucket = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("last"), F.min("n").alias("least_n"), F.max("hi").alias("most")).where("lo <> last").drop("lo", "last")
+    open_rows = placed.join(bucket, "token").where("hi >= least_n and n <= most").drop("least_n", "most")
+    return written(open_rows, "op2-open")
+
+
+def _pivot_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """Distinct pairs of each bucket's pivot with its members in other components."""
+    place = F.least("p", F.lit(LAST_PLACE)) if seed == 0 else F.lit(0)
+    ranked = rows.withColumn("rank", place.cast("long") * F.lit(1 << 51) + F.shiftrightunsigned(F.xxhash64("rep", F.lit(seed)), 13))
+    best = ranked.groupBy("token").agg(F.min("rank").alias("rank"))
+    pivots = ranked.join(best, ["token", "rank"]).select("token", *[F.col(c).alias(f"v_{c}") for c in ("rep", "n", "hi", "comp")])
+    near = rows.join(pivots, "token").where("rep <> v_rep and comp <> v_comp and n <= v_hi and v_n <= hi")
+    return near.select(F.least("rep", "v_rep").alias("a"), F.greatest("rep", "v_rep").alias("b")).distinct()
+
+
+def _left_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket in different components: the smaller set's place must allow an equal or larger one."""
+    small = rows.where("hi >= n").select("token", *[F.col(c).alias(f"s_{c}") for c in ("rep", "n", "hi", "comp")])
+    order = "(s_n < n or (s_n = n and s_rep < rep)) and s_comp <> comp and n <= s_hi and s_n <= hi"
+    return small.join(rows, "token").where(order).select(F.least("rep", "s_rep").alias("a"), F.greatest("rep", "s_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sketch_log2: int = 20, bloom_log2: int = 23) -> DataFrame:
@@ -309,31 +281,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     alike = per_doc.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = alike.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     named = texts.where("doc_id is not null")
-    pre = named.mapInArrow(_prefixes(k, num, den, classes, sketch_log2), "doc_id long, pre array<long>")
-    rows = pre.join(reps, "doc_id", "left_semi").select(F.explode("pre").alias("token"), F.col("doc_id").alias("rep"))
-    buckets = rows.groupBy("token").agg(F.count("*").alias("c"), *[F.min(F.col("rep").bitwiseXOR(F.lit(p))).alias(f"p{i}") for i, p in enumerate(PIVOTS)]).where("c > 1")
-    pivots = F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(p)) for i, p in enumerate(PIVOTS)]))
-    busy = written(rows.join(buckets, "token").select("token", "rep", pivots.alias("pivots")), "op2-busy")
-
-    wanted = spark.sparkContext.broadcast(bloom_of(busy, "rep", bloom_log2))
-    meta = written(named.mapInArrow(_prefixes(k, num, den, classes, sketch_log2, wanted), "doc_id long, n long, hist binary, pre array<long>, pre2 array<long>, pre3 array<long>"), "op2-wanted")
-    near = busy.select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = _links(near, meta, named, k, num, den, bloom_log2)
-
-    # pairs of a bucket that are not connected yet, each once
-    open_rows = _open_rows(busy, links)
-    first_common = written(open_rows.join(meta.select(F.col("doc_id").alias("rep"), "n", "pre"), "rep"), "op2-open")
-    x, y = first_common.alias("x"), first_common.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _close(num, F.col("x.n"), den, F.col("y.n"))
-    meet = meet & (F.get(F.array_intersect("x.pre", "y.pre"), F.lit(0)) == F.col("x.token"))
-    rest = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    late = _links(rest, meta, named, k, num, den, bloom_log2)
+    pre = named.mapInArrow(_prefixes(k, num, den, classes, sketch_log2), "doc_id long, n long, pre array<long>")
+    pre = written(pre.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "pre"]), "op2-prefixes")
+    rows = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("pre").alias("p", "token"))
+    busy = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    hi = F.expr(f"(n - p) * {den + num} div {num} - n")
+    rows = written(rows.join(busy, "token", "left_semi").select("token", "rep", "n", hi.alias("hi"), F.col("p").cast("int").alias("p"), F.col("rep").alias("comp")), "op2-busy")
+    drop(pre)
+
+    whole = (k, num, den, classes, sketch_log2)
+    links = _links(_pivot_pairs(rows, 0), named, whole, bloom_log2)
+    for turn in range(1, ROUNDS + 2):
+        before, rows = rows, _placed(rows, links)
+        drop(before)
+        sizes = rows.groupBy("token").agg(F.count("*").alias("c"), F.count_if(F.expr("hi >= n")).alias("s")).agg(F.sum("c").alias("rows"), F.sum(F.expr("c * s")).alias("pairs")).first()
+        # where the last pivots tied little together, the rest are groups of their own
+        if not sizes.rows or turn > ROUNDS or sizes.pairs <= PAIRS_A_ROW * sizes.rows or (turn > 1 and 100 * found < sizes.rows):
+            break
+        more = _links(_pivot_pairs(rows, turn), named, whole, bloom_log2)
+        found = more.count()
+        links = links.unionByName(more)
+    links = links.unionByName(_links(_left_pairs(rows), named, whole, bloom_log2))
+    drop(rows)
     # rows that share an id but not a text tie their classes together
     torn = per_doc.where("sig is not null").groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("doc_id")
     ties = per_doc.join(torn, "doc_id", "left_semi").join(alike, "sig").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.unionByName(late).unionByName(ties))
-    for done in (busy, meta, open_rows, first_common):
-        drop(done)
+    final = components(links.unionByName(ties))
 
     classed = alike.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("class"))
     out = per_doc.join(classed, "sig", "left")

@@ -6,6 +6,7 @@ thousands of documents with a handful of numpy operations and no per-word Python
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,13 @@ PIECE_BYTES = 2 << 20
 #: Bytes hashed at once inside a piece.
 SEGMENT = 1 << 18
 
+#: Longest span that the table of places covers; longer ones are hashed by BLAKE2b.
+PLACES = 256
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 _STEP = _rng.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
+_PLACE = _rng.integers(1, 2**64, PLACES, dtype=U64)
 
 
 def fold_ascii() -> np.ndarray:
@@ -59,17 +62,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SEGMENT + 4096)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, U64(base))
-            table[0] = U64(1)
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -136,18 +128,26 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ascending, disjoint byte spans; equal bytes give equal hashes anywhere."""
+    """64-bit hashes of ascending, disjoint byte spans; equal bytes give equal hashes anywhere.
+
+    Each place of a span has a random factor of its own, so repetitive words are as far apart as any others:
+    two different spans meet with a chance of about 2**-60.
+    """
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
         s, e = starts[i:j] - base, ends[i:j] - base
-        up, down = _power_tables(int(e[-1]) + 1)
-        sums = np.zeros(int(e[-1]) + 1, U64)
-        np.cumsum(_BYTE[data[base : base + e[-1]]] * up[: e[-1]], out=sums[1:])
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * _STEP[63])
+        if e[-1] <= SEGMENT:
+            n = int(e[-1])
+            place = np.arange(n, dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(np.append(s, n)))
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(_BYTE[data[base : base + n]] * _PLACE[np.minimum(place, PLACES - 1)], out=sums[1:])
+            out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U64) * _STEP[63])
         i = j
+    for w in np.flatnonzero(ends - starts > PLACES):
+        out[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 

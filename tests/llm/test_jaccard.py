@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from lodestone.llm import jaccard
 from lodestone.llm.graph import components
@@ -80,11 +79,54 @@ def test_small_sets_inside_larger_ones(spark, k, num, n):
     assert min(joined) == n
 
 
-def test_only_sets_with_no_similar_neighbour_are_left_out():
-    for num, den in ((90, 100), (80, 100), (2, 3), (1, 2), (100, 100)):
-        for n in range(1, 40):
-            similar = any(den * common >= num * (n + m - common) for m in range(1, 80) for common in range(min(n, m) + 1) if not common == n == m)
-            assert jaccard.may_differ(n, num, den) == similar
+def test_places_bound_the_partner():
+    """A pair whose first common token (in any order) stands too late on either side can't be similar, all others pass."""
+    rng = random.Random(3)
+    for num, den in ((90, 100), (80, 100), (2, 3)):
+        for _ in range(3000):
+            x, y = (sorted(rng.sample(range(24), rng.randrange(1, 20))) for _ in "xy")
+            both = set(x) & set(y)
+            if not both or den * len(both) < num * len({*x, *y}):
+                continue
+            first = min(both)
+            for a, b in ((x, y), (y, x)):
+                p, n = a.index(first), len(a)
+                assert p < jaccard.prefix_size(n, num, den)
+                assert len(b) <= (n - p) * (den + num) // num - n
+
+
+def test_every_size_up_to_sixty(spark):
+    """Sets on the threshold: each text, one with a word more, and one with some words changed."""
+    for k, num in ((3, 90), (5, 80)):
+        docs = []
+        for n in range(1, 61):
+            words = [f"z{n}_{i}" for i in range(n)]
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join([*words, "x"])), (len(docs) + 2, " ".join(["y", *words[:-1], "x"]))]
+        assert run(spark, docs, k=k, num=num) == brute(docs, k, num, 100)
+
+
+def test_large_group_without_its_origin(spark):
+    """Copies of one text that is not there itself: links of few, near-misses of many; rounds and left pairs both run."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    docs = [(i, edited(base, rng, rng.choice([1, 2, 2, 3, 3, 4]))) for i in range(150)]
+    docs += [(500 + i, " ".join(base[: 150 + i])) for i in range(40)]
+    assert run(spark, docs, k=3, num=90) == brute(docs, 3, 90, 100)
+    assert run(spark, docs, k=5, num=80) == brute(docs, 5, 80, 100)
+
+
+def test_structured_words_are_told_apart(spark):
+    """Words that a polynomial hash modulo a power of two takes for one."""
+    for n in (1024, 2048, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        assert run(spark, [(1, a), (2, b), (3, a.upper())], k=3, num=90) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+def test_very_long_texts(spark):
+    words = [f"l{i % 9973}_{i}" for i in range(120_000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words[:60_000])), (4, "x" * 700_000), (5, "x" * 700_001)]
+    assert {k: v[1] for k, v in run(spark, docs, k=3, num=90).items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def test_repeated_ids_tables_and_columns(spark):
@@ -101,14 +143,6 @@ def test_one_id_with_two_texts_joins_both_groups(spark):
     assert {k: v[1] for k, v in out.items()} == {2: 2, 3: 2, 5: 2}
 
 
-def test_bounds_never_fall_below_the_intersection():
-    rng = np.random.default_rng(1)
-    for n in (5, 300, 3000, 40000):
-        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n, dtype=np.uint64)]))
-        assert jaccard.most_common(jaccard.histogram(x), jaccard.histogram(y)) >= len(np.intersect1d(x, y))
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 99), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
