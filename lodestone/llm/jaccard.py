@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
-from lodestone.llm.sketch import SLICES, bloom_of, emit, merged
+from lodestone.llm.sketch import bloom_of, emit, merged
 from lodestone.llm.store import drop, written
 from lodestone.llm.text import U64, Words, buffers, gram_hashes, mix, pieces, signed
 
@@ -120,7 +120,7 @@ def _describe(k: int, sketch_log2: int):
             counts[at] += times.astype(np.uint32)
             blank = [None] * len(n)
             yield pa.record_batch([_ids(batch), pa.array(n, pa.int64()), _binary(sig), pa.array(blank, pa.int32()), _binary(blank)], names)
-        for i, data in [*emit(counts), *((SLICES + i, data) for i, data in emit(words))]:
+        for i, data in emit(np.concatenate([counts, words])):
             yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), _binary([None]), pa.array([i], pa.int32()), _binary([data])], names)
 
     return run
@@ -274,8 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     first = written(texts.mapInArrow(_describe(k, sketch_log2), "doc_id long, n long, sig binary, slice int, data binary"), "op2-sets")
     per_doc = first.where("slice is null").select("doc_id", "n", "sig")
     cells = first.where("slice is not null").select("slice", "data")
-    shingles = merged(cells.where(F.col("slice") < SLICES), "uint32", 1 << sketch_log2, "add")
-    words = merged(cells.where(F.col("slice") >= SLICES).withColumn("slice", F.col("slice") - SLICES), "uint32", 1 << sketch_log2, "add")
+    shingles, words = np.split(merged(cells, "uint32", 2 << sketch_log2, "add"), 2)
     classes = spark.sparkContext.broadcast((frequency_classes(shingles), word_classes(words)))
 
     alike = per_doc.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))

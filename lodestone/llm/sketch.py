@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 16
+#: Cells below which a sketch is merged at one level.
+SMALL = 1 << 14
 
 
 def emit(sketch: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -40,11 +42,15 @@ def _merger(dtype: str, width: int, how: str) -> Callable:
 def merged(rows: DataFrame, dtype: str, width: int, how: str) -> np.ndarray:
     """The whole sketch from rows (slice int, data binary). ``width`` is fixed by the caller.
 
-    Two levels keep a merging task's share near the square root of the number of tasks.
+    Two levels keep a merging task's share near the square root of the number of tasks; a sketch of a few
+    kilobytes needs one.
     """
-    merge = _merger(dtype, width, how)
-    first = rows.select("slice", "data").repartition(SLICES * 4, "slice", F.pmod(F.xxhash64("data"), F.lit(8)))
-    second = first.mapInArrow(merge, "slice int, data binary").repartition(SLICES, "slice")
+    merge, rows = _merger(dtype, width, how), rows.select("slice", "data")
+    if width < SMALL:
+        second = rows.repartition(2, "slice")
+    else:
+        first = rows.repartition(SLICES * 4, "slice", F.pmod(F.xxhash64("data"), F.lit(8)))
+        second = first.mapInArrow(merge, "slice int, data binary").repartition(SLICES, "slice")
     out = np.zeros(width, dtype)
     step = width // SLICES
     # at most one row a slice: the sketch's own fixed size
