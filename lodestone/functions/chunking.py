@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import accumulate, groupby, islice, pairwise
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ DECLARING = set("fn func function def class struct enum impl trait interface mod
 BINDING = set("const let var val static type".split())
 MODIFIERS = set("pub pub(crate) public private protected internal export default async static final override open abstract unsafe extern inline declare @objc @main #[derive]".split())
 CODE_EXTENSIONS = "rs swift py js jsx ts tsx go java c h cpp hpp rb sh sql css".split()
+_ASCII_LOWER = bytes(range(256)).lower()
 
 
 @dataclass(frozen=True)
@@ -30,10 +34,6 @@ class Limits:
     max_chunks: int = 400
 
 
-class Full(Exception):
-    """The chunk ceiling is reached."""
-
-
 def size(s: str) -> int:
     return len(s) if s.isascii() else len(s.encode())
 
@@ -69,160 +69,135 @@ def heading_level(line: str) -> int:
 
 def split_identifier(name: str) -> list[str]:
     """Words of an identifier: at underscores, and before a capital that follows a small letter."""
-    out = []
-    for piece in filter(None, name.split("_")):
-        begin = 0
-        for i in range(1, len(piece)):
-            if piece[i].isupper() and not piece[i - 1].isupper():
-                out.append(piece[begin:i])
-                begin = i
-        out.append(piece[begin:])
-    return out
-
-
-_IDENTIFIER = re.compile(r"[\w]+")
+    marked = "".join("_" * (c.isupper() and not before.isupper()) + c for before, c in zip("_" + name, name))
+    return [w for w in marked.split("_") if w]
 
 
 def symbols(text: str, most: int = 2000) -> str:
     """Distinct words of the identifiers in a text, in order, within ``most`` bytes."""
-    words: dict[str, None] = {}
-    for m in _IDENTIFIER.finditer(text):
-        name = m[0]
-        if 3 <= size(name) <= 64 and ("_" in name or any(map(str.isupper, name))):
-            for part in split_identifier(name):
-                if size(part) >= 2:
-                    words.setdefault("".join(c.lower() if c.isascii() else c for c in part))
-    out, used = [], 0
-    for w in words:
-        if used + size(w) + 1 > most:
-            break
-        used += size(w) + (1 if out else 0)
-        out.append(w)
-    return " ".join(out)
-
-
-@dataclass
-class Chunker:
-    limits: Limits = field(default_factory=Limits)
-    out: list[tuple] = field(default_factory=list)
-
-    def emit(self, text: str, heading: str, page: int, line: int) -> None:
-        text = text.strip(SPACE)
-        if text:
-            if len(self.out) >= self.limits.max_chunks:
-                raise Full
-            self.out.append((len(self.out), page, 0 if page else max(1, line), heading, text, symbols(text)))
-
-    def carried(self, text: str) -> str:
-        """What a passage repeats of the one before: its last bytes from a sentence's or word's start."""
-        most = self.limits.overlap
-        if not most or size(text) <= most:
-            return ""
-        end = tail(text, most)
-        for mark in (". ", " "):
-            at = end.find(mark)
-            if at >= 0:
-                end = end[at + len(mark) :]
-                break
-        return end if not end or end.endswith("\n") else end + "\n"
-
-    def paragraphs(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """(first line, headings above, text) of each run of lines between blank lines and headings."""
-        above: list[tuple[int, str]] = []
-        held: list[str] = []
-        begin = 1
-        for number, line in enumerate([*lines(text), ""], 1):
-            bare = line.strip(SPACE)
-            level = heading_level(bare)
-            if bare and not level:
-                if not held:
-                    begin = number
-                held.append(line.rstrip(SPACE) + "\n")
-                continue
-            if held:
-                yield begin, " > ".join(name for _, name in above), "".join(held)
-                held = []
-            if level:
-                above = [x for x in above if x[0] < level] + [(level, bare.lstrip("#").strip(SPACE))]
-
-    def prose(self, text: str, page: int = 0) -> None:
-        """Whole paragraphs up to the target. A passage keeps the heading it began under, also across the
-        overlap, but takes the line of the paragraph that the overlap precedes."""
-        target = self.limits.target
-        now, heading, line = "", "", 1
-        for begin, title, block in self.paragraphs(text):
-            if now and size(now) + size(block) > target:
-                self.emit(now, heading, page, line)
-                now, line = self.carried(now), begin
-            if not now.strip(SPACE):
-                heading, line = title, begin
-            now += block
-            while size(now) > 2 * target:
-                part = head(now, target)
-                self.emit(part, heading, page, line)
-                now = now[len(part) :]
-        self.emit(now, heading, page, line)
-
-    def code(self, text: str) -> None:
-        """Passages begin at declarations once half the target or 20 lines are there, or by size alone."""
-        target = self.limits.target
-        now, count, begin, heading, pending = "", 0, 1, "", ""
-        for number, line in enumerate(lines(text), 1):
-            declared = declares(line)
-            if declared and (size(now) >= target / 2 or count >= 20):
-                self.emit(now, heading, 0, begin)
-                now, count = "", 0
-            if not now.strip(SPACE):
-                begin = number
-                heading, pending = (headline(line), pending) if declared else (pending, "")
-            if declared:
-                heading = heading or headline(line)
-                pending = headline(line)
-            now += line + "\n"
-            count += 1
-            if size(now) > 2 * target:
-                self.emit(now, heading, 0, begin)
-                now, count = "", 0
-        self.emit(now, heading, 0, begin)
+    names = (n for n in re.findall(r"\w+", text) if 3 <= size(n) <= 64 and any(c == "_" or c.isupper() for c in n))
+    parts = (p.encode().translate(_ASCII_LOWER).decode() for n in names for p in split_identifier(n) if size(p) >= 2)
+    words = list(dict.fromkeys(parts))
+    # a word costs its bytes and a space, but for the last one's
+    room = bisect_right(list(accumulate(size(w) + 1 for w in words)), most + 1)
+    return " ".join(words[:room])
+
+
+class Paragraph(NamedTuple):
+    line: int
+    heading: str
+    text: str
+
+
+def paragraphs(text: str) -> list[Paragraph]:
+    """Runs of lines between blank lines and headings, with the headings they stand under."""
+    rows = [(n, line, heading_level(line.strip(SPACE))) for n, line in enumerate(lines(text), 1)]
+    out, path = [], {}
+    for kind, group in groupby(rows, key=lambda r: "heading" if r[2] else "text" if r[1].strip(SPACE) else "blank"):
+        group = list(group)
+        if kind == "heading":
+            for _, line, level in group:
+                # a heading closes those of its level and below
+                path = {k: v for k, v in path.items() if k < level} | {level: line.strip(SPACE).lstrip("#").strip(SPACE)}
+        elif kind == "text":
+            out.append(Paragraph(group[0][0], " > ".join(path.values()), "".join(line.rstrip(SPACE) + "\n" for _, line, _ in group)))
+    return out
+
+
+def overlap(text: str, most: int) -> str:
+    """What a passage repeats of the one before: its last bytes from a sentence's or word's start."""
+    if not most or size(text) <= most:
+        return ""
+    end = tail(text, most)
+    cut = re.search(r"\. ", end) or re.search(" ", end)
+    end = end[cut.end() :] if cut else end
+    return re.sub(r"([^\n])\Z", r"\1\n", end)
+
+
+def pack(blocks: list[Paragraph], limits: Limits) -> Iterator[tuple[str, int, str]]:
+    """(heading, line, text) of passages of whole paragraphs up to the target.
+
+    A passage that begins with an overlap keeps the heading of the passage before, but has the line of its
+    first own paragraph. A paragraph beyond twice the target is cut at the target.
+    """
+    ends = list(accumulate((size(b.text) for b in blocks), initial=0))
+    at, carry, heading = 0, "", ""
+    while at < len(blocks):
+        first = blocks[at]
+        heading = heading if carry.strip(SPACE) else first.heading
+        text = carry + first.text
+        while size(text) > 2 * limits.target:
+            wall = head(text, limits.target)
+            yield heading, first.line, wall
+            text = text[len(wall) :]
+        # as many further paragraphs as the target has room for
+        until = max(at + 1, bisect_right(ends, ends[at + 1] + limits.target - size(text)) - 1)
+        text += "".join(b.text for b in blocks[at + 1 : until])
+        yield heading, first.line, text
+        at, carry = until, overlap(text, limits.overlap)
 
 
 def declares(line: str) -> bool:
+    """A line that opens a declaration, at most four columns in; a binding counts at the margin only."""
     bare = line.lstrip(SPACE)
     indent = size(line) - size(bare)
-    if indent > 4:
-        return False
-    for word in bare.split():
-        small = word.lower()
-        if small.rstrip(":") in MODIFIERS:
-            continue
-        small = small.rstrip("(:")
-        return small in DECLARING and small not in BINDING or small in BINDING and indent == 0
-    return False
+    word = next((w for w in bare.lower().split() if w.rstrip(":") not in MODIFIERS), "").rstrip("(:")
+    return indent <= 4 and word in (DECLARING if indent else DECLARING | BINDING)
 
 
 def headline(line: str) -> str:
     return head(line.strip(SPACE).rstrip("{:;").strip(SPACE), 100)
 
 
+def code_cuts(sizes: list[int], declared: list[int], target: int) -> list[int]:
+    """Line numbers (from 0) where passages begin, and the end.
+
+    A passage ends before the first declaration once it has half the target or 20 lines, or when it outgrows
+    twice the target.
+    """
+    ends = list(accumulate(sizes, initial=0))
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        at = cuts[-1]
+        ripe = max(at + 1, min(bisect_left(ends, ends[at] + target / 2), at + 20))
+        following = bisect_left(declared, ripe)
+        full = bisect_right(ends, ends[at] + 2 * target)
+        cuts.append(min(full, len(sizes), declared[following] if following < len(declared) else len(sizes)))
+    return cuts
+
+
+def code_passages(text: str, limits: Limits) -> Iterator[tuple[str, int, str]]:
+    """(heading, line, text) of passages of code; one that starts inside a declaration is named by it."""
+    rows = lines(text)
+    declared = [i for i, line in enumerate(rows) if declares(line)]
+    cuts = code_cuts([size(x) + 1 for x in rows], declared, limits.target)
+    opened = ""
+    for begin, end in pairwise(cuts):
+        own = declared[bisect_left(declared, begin) : bisect_left(declared, end)]
+        first = next((i for i in range(begin, end) if rows[i].strip(SPACE)), end)
+        inherited = opened if first == begin and begin not in own else ""
+        yield inherited or (headline(rows[own[0]]) if own else ""), first + 1, "".join(x + "\n" for x in rows[begin:end])
+        opened = headline(rows[own[-1]]) if own else ""
+
+
+def _pieces(kind: str, text: str, limits: Limits) -> Iterator[tuple[int, str, int, str]]:
+    """(page, heading, line, text) of all passages of a text, blank ones too; page 0 where there are none."""
+    if kind in ("prose", "paged", "sections"):
+        for n, part in enumerate(text.split("\f") if kind != "prose" else [text], 1):
+            yield from ((n if kind == "paged" else 0, *p) for p in pack(paragraphs(part), limits))
+    elif kind == "code":
+        yield from ((0, *p) for p in code_passages(text, limits))
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+
+
 def chunks(kind: str, text: str, limits: Limits = Limits()) -> tuple[list[tuple], bool]:
     """[(ordinal, page, line, heading, text, symbols)] and whether a ceiling cut the text."""
-    cut = size(text) > limits.max_bytes
-    if cut:
-        text = head(text, limits.max_bytes)
-    made = Chunker(limits)
-    try:
-        if kind == "code":
-            made.code(text)
-        elif kind == "prose":
-            made.prose(text)
-        elif kind in ("paged", "sections"):
-            for n, part in enumerate(text.split("\f"), 1):
-                made.prose(part, n if kind == "paged" else 0)
-        else:
-            raise ValueError(f"unknown kind {kind!r}")
-    except Full:
-        cut = True
-    return made.out, cut
+    short = head(text, limits.max_bytes)
+    found = ((page, 0 if page else line, heading, body.strip(SPACE)) for page, heading, line, body in _pieces(kind, short, limits))
+    most = list(islice((x for x in found if x[3]), limits.max_chunks + 1))
+    out = [(n, *x, symbols(x[3])) for n, x in enumerate(most[: limits.max_chunks])]
+    return out, len(most) > limits.max_chunks or len(short) < len(text)
 
 
 def kind_of(path: Column, extracted: Column) -> Column:

@@ -62,28 +62,17 @@ class FileQuery:
         return any((self.kind, self.size, self.modified, self.used))
 
 
+_WORD = re.compile(r'(?:[^\s"]|"(?:[^"\\]|\\.)*")+', re.S)
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+
+
 def words(text: str) -> list[tuple[str, bool]]:
     """(word, literal): a quote that begins a word makes it literal; \\ escapes inside quotes."""
-    out: list[tuple[str, bool]] = []
-    now, literal, quoted, chars = [], False, False, iter(text)
-    for c in chars:
-        if quoted and c == "\\":
-            following = next(chars, None)
-            if following is None:
-                raise FilterError("Close the quoted value with a double quote")
-            now.append(following)
-        elif c == '"':
-            literal = literal or (not now and not quoted)
-            quoted = not quoted
-        elif c.isspace() and not quoted:
-            if now:
-                out.append(("".join(now), literal))
-            now, literal = [], False
-        else:
-            now.append(c)
-    if quoted:
-        raise FilterError("Close the quoted value with a double quote")
-    return [*out, ("".join(now), literal)] if now else out
+    if _WORD.sub("", text).strip():
+        raise FilterError("a quote is never closed")
+    plain = lambda m: re.sub(r"\\(.)", r"\1", m[1], flags=re.S)
+    found = [(_QUOTED.sub(plain, w), w.startswith('"')) for w in _WORD.findall(text)]
+    return [x for x in found if x[0]]
 
 
 def parse_size(value: str) -> Size:
@@ -91,14 +80,14 @@ def parse_size(value: str) -> Size:
     sign, amount, unit = found.groups() if found else ("", "", "?")
     factor = UNITS.get((unit or "").upper())
     if factor is None:
-        raise FilterError("Use size:>5MB, size:<1GB, or a byte count")
+        raise FilterError("size: wants a comparison, a number and a unit of bytes, as in size:>=20KB")
     if not re.fullmatch(r"[0-9]+(\.[0-9]{0,6})?", amount):
-        raise FilterError("Invalid file size")
+        raise FilterError("size: has a malformed number")
     exact = Fraction(amount.rstrip(".")) * factor
     if exact.denominator != 1:
-        raise FilterError("File size must resolve to a whole number of bytes")
+        raise FilterError("size: gives a fraction of a byte")
     if exact > 2**63 - 1:
-        raise FilterError("File size is too large")
+        raise FilterError("size: exceeds 64 bits")
     return Size(sign or "=", int(exact))
 
 
@@ -108,16 +97,16 @@ def parse_age(value: str) -> Age:
         return named[value]
     found = re.fullmatch(r"(>?)\+?([0-9]+)d", value)
     if not found:
-        raise FilterError("Use today, yesterday, week, month, 30d or >180d")
+        raise FilterError("a date filter is a named span (today, yesterday, week, month) or a number of days (14d, >90d)")
     if not 1 <= int(found[2]) <= 36_500:
-        raise FilterError("Days must be between 1 and 36500")
+        raise FilterError("a date filter reaches 1 to 36500 days back")
     return Age("older" if found[1] else "within", int(found[2]))
 
 
 def parse(text: str) -> FileQuery:
     """A typed query; an unknown key stays part of the name."""
     if len(text.encode()) > 4096 or "\0" in text:
-        raise FilterError("Query is too long or contains an invalid character")
+        raise FilterError("a query has at most 4096 bytes and no NUL")
     names, got = [], {}
     for word, literal in words(text):
         key, colon, value = word.partition(":")
@@ -125,11 +114,11 @@ def parse(text: str) -> FileQuery:
             names.append(word)
             continue
         if key in got:
-            raise FilterError(f"Use {key}: only once" if key in ("kind", "size") else "Use each date filter only once")
+            raise FilterError(f"{key}: is given twice")
         if key == "kind":
             kind = "".join(c.lower() if c.isascii() else c for c in value)
             if not re.fullmatch(r"[a-z0-9]{1,16}", kind):
-                raise FilterError("Use a file extension or kind:folder, image, audio, video")
+                raise FilterError("kind: is an extension or one of folder, image, audio, video")
             got[key] = kind
         else:
             got[key] = parse_size(value) if key == "size" else parse_age(value)
@@ -167,9 +156,9 @@ def extension_predicate(path: Column, extensions: list[str]) -> Column:
 def content_predicate(query: FileQuery, path: Column, size: Column, modified: Column, now: int, zone: str = "UTC") -> Column:
     """Predicate of a content search; filters that contents don't have are refused."""
     if query.used:
-        raise FilterError("used: does not apply to content search")
+        raise FilterError("contents have no date of use")
     if query.kind in ("folder", "image", "audio", "video"):
-        raise FilterError("This kind has no searchable content")
+        raise FilterError("files of this kind have no text")
     out = F.lit(True)
     if query.kind:
         out = out & extension_predicate(path, GROUPS.get(query.kind, [query.kind]))

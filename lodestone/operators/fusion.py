@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,18 +31,21 @@ def fuse_ranks(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return merged.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
+def _runs_into(left: bytes, right: bytes, least: int) -> bool:
+    """Some suffix of left of ``least`` bytes or more begins right. Both are UTF-8, so it starts at a character."""
+    probe = right[:least]
+    at = left.find(probe, max(0, len(left) - len(right)))
+    while at >= 0 and not right.startswith(left[at:]):
+        at = left.find(probe, at + 1)
+    return at >= 0
+
+
 def _overlap(left: str, right: str) -> bool:
-    a, b = sorted((left.encode(), right.encode()), key=len)
-    if not a:
+    if not left or not right:
         return left == right
-    if a in b:
-        return True
-    least = len(a) * 4 // 5
-    # a suffix of one, long enough and whole in characters, that begins the other
-    whole = lambda s, i: i == len(s) or s[i] & 0xC0 != 0x80
-    ends_a = (i for i in range(len(a) - least + 1) if whole(a, i))
-    ends_b = (i for i in range(max(0, len(b) - len(a)), len(b) - least + 1) if whole(b, i))
-    return any(b.startswith(a[i:]) for i in ends_a) or any(a.startswith(b[i:]) for i in ends_b)
+    x, y = left.encode(), right.encode()
+    least = min(len(x), len(y)) * 4 // 5
+    return x in y or y in x or _runs_into(x, y, least) or _runs_into(y, x, least)
 
 
 def substantially_overlaps(left: Column, right: Column) -> Column:
@@ -108,28 +113,25 @@ def context(selected: DataFrame) -> DataFrame:
 
 
 def best_window(body: str, terms: list[str], budget: int) -> str | None:
-    """The window of ``budget`` bytes with most terms (100 each, plus occurrences); the first of equals."""
-    text = " ".join(body.split()).encode()
+    """The window of ``budget`` bytes with most terms (100 each, plus occurrences); the first of equals.
+
+    Windows begin half a window apart, and begin and end on whole characters.
+    """
+    text = " ".join(body.split())
     if not text or budget <= 0:
         return None
-
-    def floor(i: int) -> int:
-        while i < len(text) and text[i] & 0xC0 == 0x80:
-            i -= 1
-        return min(i, len(text))
-
-    width = min(budget, len(text))
-    best, at, start = 0, 0, 0
-    while True:
-        begin = floor(start)
-        end = floor(min(begin + width, len(text)))
-        part = text[begin:end].decode().lower()
-        score = sum(100 + part.count(t) for t in terms if t and t in part)
-        if score > best:
-            best, at = score, begin
-        if end >= len(text) or end <= begin:
-            return text[at : floor(min(at + width, len(text)))].decode()
-        start = begin + max(1, width // 2)
+    edges = list(accumulate((len(c.encode()) for c in text), initial=0))
+    last = len(text)
+    at_byte = lambda b: bisect_right(edges, b) - 1
+    until = lambda i: at_byte(edges[i] + budget)
+    starts = [0]
+    while starts[-1] < until(starts[-1]) < last:
+        starts.append(max(starts[-1] + 1, at_byte(edges[starts[-1]] + max(1, min(budget, edges[-1]) // 2))))
+    wanted = [t for t in terms if t]
+    spans = [text[i : until(i)].lower() for i in starts]
+    scores = [sum(100 + s.count(t) for t in wanted if t in s) for s in spans]
+    best = starts[scores.index(max(scores))]
+    return text[best : until(best)]
 
 
 def best_windows(rows: DataFrame, budget: int) -> DataFrame:
