@@ -11,10 +11,11 @@ case; words by its split pattern; byte-level symbols with an end-of-word suffix.
 a text are matched first, as that library does. Texts of plain Latin-1 are split by byte tables; any other
 text by the library's own normaliser and splitter, so Unicode rules agree.
 
-Words are told apart by 64-bit hashes within one piece of text.
+Equal words of a piece of text are found by 64-bit hashes and confirmed by their bytes.
 
-Defined cases: null text counts as empty and gives no ids and an empty decoded text; repeated rows give
-repeated results; columns other than those asked for are ignored.
+Defined cases: null text counts as empty and gives no ids and an empty decoded text; texts of any length are
+encoded whole; repeated rows give repeated results; an empty table gives no rows; words equally frequent at the
+lexicon's bound are all in or all out, without effect on ids; columns other than those asked for are ignored.
 """
 
 from __future__ import annotations
@@ -415,12 +416,32 @@ def gathered(values: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[
     return values[index], begins
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(example, which): a span of each distinct word, and each span's number among them.
+
+    Hashes find equal words and their bytes confirm it; should any differ, the bytes alone tell them apart.
+    """
+    _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    again = np.flatnonzero(example[which] != np.arange(len(which)))
+    size = (ends - starts)[again]
+    same = bool(np.array_equal(size, (ends - starts)[example[which[again]]]))
+    if same and len(again):
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = bool(np.array_equal(data[np.repeat(starts[again], size) + place], data[np.repeat(starts[example[which[again]]], size) + place]))
+    if not same:
+        names: dict[bytes, int] = {}
+        which = np.array([names.setdefault(data[s:e].tobytes(), len(names)) for s, e in zip(starts, ends)], np.int64)
+        _, example = np.unique(which, return_index=True)
+    return example, which
+
+
 def encode(texts: list[str | None], tok: Tokenizer, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): ids of text t are ids[first[t]:first[t + 1]]."""
     split = Split(texts, tok)
     plain = split.codes < 0
-    _, example, which = np.unique(split.hashes[plain], return_index=True, return_inverse=True)
-    starts, ends = split.starts[plain][example], split.ends[plain][example]
+    starts, ends = split.starts[plain], split.ends[plain]
+    example, which = distinct_words(split.data, starts, ends, split.hashes[plain])
+    starts, ends = starts[example], ends[example]
     number = lexicon.numbers(split.data, starts, ends)
     seen = number >= 0
     known, known_first = gathered(lexicon.ids, lexicon.first, number[seen])

@@ -4,12 +4,13 @@ Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with A-Z lower-cased.
 consecutive words of an item (a shorter item is one window). Both sides keep the minimum k-gram hash of
 each run of ``span - k + 1`` k-grams, so every shared window has a common fingerprint. Documents keep only
 fingerprints that pass a fixed-size filter of the test side; the exact join follows; each candidate pair
-is then extended by comparing word hashes, window by window, which decides alone.
+is then extended window by window, where the words' bytes decide alone.
 
 Items shorter than ``span`` are fingerprinted whole, and documents at the lengths that occur.
 
-Defined cases: null, empty and word-less texts have no words, hits or items; repeated rows give repeated
-results; a null item_id counts as an item named by the empty string; other columns are ignored.
+Defined cases: null, empty and word-less texts have no words, hits or items; texts of any length are taken
+whole; repeated rows and null doc_ids give results of their own; a null item_id counts as an item named by the
+empty string; empty tables give no rows or no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.sketch import bloom_of
-from lodestone.llm.store import written
+from lodestone.llm.store import drop, written
 from lodestone.llm.text import ALNUM, U64, Words, buffers, gram_hashes, mix, pieces, signed
 
 
@@ -64,24 +65,15 @@ def _item_prints(span: int, k: int):
     return run
 
 
-def _word_rows(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            words = Words(*buffers(batch.column("text")), ALNUM)
-            data, first = words.hashes(), words.first
-            yield pa.record_batch([batch.column(0), pa.array([data[first[r] : first[r + 1]].tobytes() for r in range(words.rows)], pa.binary())], names)
-
-    return run
-
-
 def _candidates(span: int, k: int, lengths: list[int], test):
-    """Every document with its word count; word hashes and passing fingerprints only where some pass."""
+    """Every document with its word count; its folded text and passing fingerprints only where some pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = test.value
         for batch in pieces(batches, "text"):
-            words = Words(*buffers(batch.column("text")), ALNUM)
-            hashes, first = words.hashes(), words.first
+            raw, offsets = buffers(batch.column("text"))
+            words = Words(raw, offsets, ALNUM)
+            hashes = words.hashes()
             found = [winnow(words, hashes, span, k), *(_exact(words, hashes, n) for n in lengths)]
             prints, row = (np.concatenate(x) for x in zip(*found))
             passing = bloom.has(prints)
@@ -90,14 +82,33 @@ def _candidates(span: int, k: int, lengths: list[int], test):
             prints, row = signed(prints[order]), row[order]
             cut = np.searchsorted(row, np.arange(words.rows + 1))
             held = [np.unique(prints[cut[r] : cut[r + 1]]) if cut[r + 1] > cut[r] else None for r in range(words.rows)]
-            data = [None if h is None else hashes[first[r] : first[r + 1]].tobytes() for r, h in enumerate(held)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["doc_id", "n_words", "prints", "words"])
+            data = [None if h is None else words.folded[offsets[r] : offsets[r + 1]].tobytes() for r, h in enumerate(held)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["doc_id", "n_words", "prints", "folded"])
 
     return run
 
 
-def occurrences(doc: np.ndarray, item: np.ndarray, span: int) -> np.ndarray:
-    """First positions in doc (word hashes) of any window of item."""
+class Spelled:
+    """One text's words: their hashes, and their bytes with one space between."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        words = Words(raw, np.array([0, len(raw)]), ALNUM)
+        self.hashes = words.hashes()
+        self.bytes = b" ".join(words.folded[s:e].tobytes() for s, e in zip(words.starts, words.ends))
+        sizes = words.ends - words.starts
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.ends = self.starts + sizes
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def window(self, at: int, width: int) -> bytes:
+        return self.bytes[self.starts[at] : self.ends[at + width - 1]]
+
+
+def occurrences(doc: Spelled, item: Spelled, span: int) -> np.ndarray:
+    """First positions in doc of any window of item. Hashes point, the words' bytes decide."""
     width = min(span, len(item))
     if not width or len(doc) < width:
         return np.zeros(0, np.int64)
@@ -109,15 +120,11 @@ def occurrences(doc: np.ndarray, item: np.ndarray, span: int) -> np.ndarray:
             total += mix(x[j : j + n] + U64(j))
         return mix(total)
 
-    ours, theirs = windows(doc), windows(item)
+    ours, theirs = windows(doc.hashes), windows(item.hashes)
     hits = np.flatnonzero(np.isin(ours, theirs))
     if len(hits):
-        # the sums only point; the words themselves decide
-        place = {}
-        for at, h in enumerate(theirs.tolist()):
-            place.setdefault(h, []).append(at)
-        keep = [any(np.array_equal(doc[p : p + width], item[q : q + width]) for q in place[int(ours[p])]) for p in hits]
-        hits = hits[np.array(keep, bool)]
+        spelled = {item.window(q, width) for q in range(len(theirs))}
+        hits = hits[np.array([doc.window(p, width) in spelled for p in hits], bool)]
     return hits
 
 
@@ -125,8 +132,8 @@ def _extend(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, item_id, doc, item in zip(batch.column("key"), batch.column("item_id"), batch.column("words"), batch.column("item")):
-                doc, item = np.frombuffer(doc.as_buffer(), U64), np.frombuffer(item.as_buffer(), U64)
+            for key, item_id, doc, item in zip(batch.column("key"), batch.column("item_id"), batch.column("folded"), batch.column("item")):
+                doc, item = Spelled(doc.as_py()), Spelled((item.as_py() or "").encode())
                 at = occurrences(doc, item, span)
                 if len(at):
                     width = min(span, len(item))
@@ -140,10 +147,10 @@ def _extend(span: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, bloom_log2: int = 24) -> DataFrame:
-    """Per row of docs(doc_id, text): n_words, n_hit, item_ids (sorted strings), hit spans (start, stop in words).
+def _found(docs: DataFrame, benchmark: DataFrame, span: int, k: int, bloom_log2: int) -> tuple[DataFrame, DataFrame]:
+    """(seen, found): documents with word count and key, and by key the runs and items of texts that hold some.
 
-    ``bloom_log2`` fixes what is broadcast (2 MB at 24), whatever the size of the benchmark.
+    The key is the SHA-256 of the folded text.
     """
     if not 1 <= k <= span:
         raise ValueError("k must lie between 1 and span")
@@ -153,19 +160,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     # an item_id that comes twice is one item with several texts
     items = items.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["item_id", "text_key"])
     keyed = written(items.select(F.struct("item_id", "text_key").alias("k"), "text").select(F.to_json("k").alias("item_id"), "text"), "op10-items")
-    prints = written(keyed.mapInArrow(_item_prints(span, k), "item_id string, n_item long, print long"), "op10-prints").cache()
+    prints = written(keyed.mapInArrow(_item_prints(span, k), "item_id string, n_item long, print long"), "op10-prints")
     lengths = sorted(r.n_item for r in prints.where(F.col("n_item") < span).select("n_item").distinct().collect())
     test = spark.sparkContext.broadcast(bloom_of(prints, "print", bloom_log2))
-    prints.unpersist()
-    seen = written(texts.mapInArrow(_candidates(span, k, lengths, test), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, prints array<long>, words binary"), "op10-seen")
-    seen = seen.withColumn("key", F.when(F.col("words").isNotNull(), F.unhex(F.sha2("words", 256))))
+    seen = written(texts.mapInArrow(_candidates(span, k, lengths, test), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, prints array<long>, folded binary"), "op10-seen")
+    seen = seen.withColumn("key", F.when(F.col("folded").isNotNull(), F.unhex(F.sha2("folded", 256))))
 
     held = seen.where("key is not null")
     marks = held.select("key", F.explode("prints").alias("print")).distinct()
     pairs = marks.join(prints.select("print", "item_id").distinct(), "print").select("key", "item_id").distinct()
-    item_words = keyed.mapInArrow(_word_rows(["item_id", "item"]), "item_id string, item binary")
-    doc_words = held.select("key", "words").dropDuplicates(["key"])
-    spans = pairs.join(item_words, "item_id").join(doc_words, "key").select("key", "item_id", "words", "item").mapInArrow(_extend(span), "key binary, item_id string, starts array<long>, stops array<long>")
+    doc_texts = held.select("key", "folded").dropDuplicates(["key"])
+    spans = pairs.join(keyed.withColumnRenamed("text", "item"), "item_id").join(doc_texts, "key").select("key", "item_id", "folded", "item").mapInArrow(_extend(span), "key binary, item_id string, starts array<long>, stops array<long>")
     spans = spans.withColumn("item_id", F.from_json("item_id", "item_id string").item_id)
 
     # union of the runs of a document: a run adds what lies beyond all runs before it
@@ -174,6 +179,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
     )
     found = written(found, "op10-found")
+    drop(prints)
+    drop(keyed)
+    return seen, found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, bloom_log2: int = 24) -> DataFrame:
+    """Per row of docs(doc_id, text): n_words, n_hit, item_ids (sorted strings), hit spans (start, stop in words).
+
+    ``bloom_log2`` fixes what is broadcast (2 MB at 24), whatever the size of the benchmark.
+    """
+    seen, found = _found(docs, benchmark, span, k, bloom_log2)
     joined = seen.select("doc_id", "n_words", "key").join(found, "key", "left")
     zero = F.struct(F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("total"))
     covered = F.aggregate(
@@ -188,7 +204,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     return joined.select("doc_id", "n_words", covered.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.col("runs").alias("spans"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
-    """docs without the documents that hold any window of the benchmark; columns unchanged."""
-    dirty = contamination(docs, benchmark, span, k).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, bloom_log2: int = 24) -> DataFrame:
+    """docs without the rows whose text holds any window of the benchmark; columns unchanged.
+
+    The text decides for each row, so null and repeated ids are handled like any other.
+    """
+    seen, found = _found(docs, benchmark, span, k, bloom_log2)
+    dirty = found.select(F.col("key").alias("_dirty_key"))
+    folded = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*docs.columns, F.unhex(F.sha2(folded, 256)).alias("_text_key")).toDF(*names, "_text_key")
+    return keyed.join(dirty, F.col("_text_key") == F.col("_dirty_key"), "left_anti").select(*names).toDF(*docs.columns)

@@ -36,6 +36,14 @@ _AT = U64(0xC2B2AE3D27D4EB4F)
 NEWLINE = 10
 
 
+def place_keys(place: np.ndarray) -> np.ndarray:
+    """What tells a word at one place of a line from the same word at another."""
+    return mix(place.astype(U64) * _AT + U64(1))
+
+
+_PLACES = place_keys(np.arange(4096))
+
+
 class Lines:
     """Lines of a piece: hash with variable fields masked, leaf of the tree, count of words and of those without a digit."""
 
@@ -43,12 +51,14 @@ class Lines:
         raw, offsets = buffers(column)
         words = Words(raw, offsets, SPACED, np.arange(256, dtype=np.uint8))
         hashes = words.hashes()
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-        fields = digits[words.ends] > digits[words.starts]
-        breaks = np.flatnonzero(raw == NEWLINE)
+        # words that hold a digit
+        fields = np.zeros(len(hashes), bool)
+        fields[np.searchsorted(words.starts, np.flatnonzero(_DIGIT[raw]), "right") - 1] = True
         # a line starts at a text's first byte and after each newline
-        starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
-        starts = starts[starts < len(raw)] if len(raw) else starts[:0]
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:] = raw == NEWLINE
+        begins[offsets[:-1]] = True
+        starts = np.flatnonzero(begins[:-1])
         self.row = np.searchsorted(offsets, starts, "right") - 1
         self.first = np.searchsorted(words.starts, np.append(starts, len(raw)))
         self.count = np.diff(self.first)
@@ -60,7 +70,7 @@ class Lines:
         heads = np.searchsorted(starts, offsets[:-1])
         self.number = np.arange(len(starts)) - heads[self.row]
         place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], self.count)
-        spots = mix(self.tokens + mix(place.astype(U64) * _AT + U64(1)))
+        spots = mix(self.tokens + (_PLACES[place] if place.max(initial=0) < len(_PLACES) else place_keys(place)))
         self.spots, self.place = spots, place
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(spots)])
         n = mix(self.count.astype(U64) + U64(7))

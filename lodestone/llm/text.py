@@ -15,16 +15,13 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes handled at once; a longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
-#: Bytes hashed at once inside a piece.
-SEGMENT = 1 << 18
-
-#: Longest span that the table of places covers; longer ones are hashed by BLAKE2b.
-PLACES = 256
+#: Longest span that is hashed limb by limb; longer ones are hashed by BLAKE2b.
+LIMBS = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _STEP = _rng.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
-_PLACE = _rng.integers(1, 2**64, PLACES, dtype=U64)
+_LIMB = _rng.integers(1, 2**64, LIMBS, dtype=U64)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def fold_ascii() -> np.ndarray:
@@ -128,27 +125,26 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ascending, disjoint byte spans; equal bytes give equal hashes anywhere.
+    """64-bit hashes of byte spans; equal bytes give equal hashes anywhere.
 
-    Each place of a span has a random factor of its own, so repetitive words are as far apart as any others:
-    two different spans meet with a chance of about 2**-60.
+    A span is cut into limbs of eight bytes. Each limb goes through a mixer of its own before they are summed, so
+    repetitive words are as far apart as any others: two different spans meet with a chance of about 2**-63.
     """
-    out = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
-        s, e = starts[i:j] - base, ends[i:j] - base
-        if e[-1] <= SEGMENT:
-            n = int(e[-1])
-            place = np.arange(n, dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(np.append(s, n)))
-            sums = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE[data[base : base + n]] * _PLACE[np.minimum(place, PLACES - 1)], out=sums[1:])
-            out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U64) * _STEP[63])
-        i = j
-    for w in np.flatnonzero(ends - starts > PLACES):
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    limbs = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = size.astype(U64) * _STEP[63] + mix((limbs[starts] & _MASK[np.minimum(size, 8)]) + _LIMB[0])
+    more = np.flatnonzero((size > 8) & (size <= 8 * LIMBS))
+    for j in range(1, LIMBS):
+        left = size[more] - 8 * j
+        out[more] += mix((limbs[starts[more] + 8 * j] & _MASK[np.minimum(left, 8)]) + _LIMB[j])
+        more = more[left > 8]
+        if not len(more):
+            break
+    for w in np.flatnonzero(size > 8 * LIMBS):
         out[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), "little")
-    return out
+    return mix(out)
 
 
 def gram_hashes(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
