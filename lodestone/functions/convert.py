@@ -408,8 +408,8 @@ def expanded_link(template: Column, query: Column) -> Column:
 
 def byte_count(text: Column) -> Column:
     """'1.5MiB' as bytes; null if malformed."""
-    n = F.regexp_extract(text, r"^\s*([0-9.]+)\s*([KMGT]?i?B)\s*$", 1)
-    unit = F.regexp_extract(text, r"^\s*([0-9.]+)\s*([KMGT]?i?B)\s*$", 2)
+    n = F.regexp_extract(text, r"^\s*([0-9.]+)\s*([KkMGT]?i?B)\s*$", 1)
+    unit = F.regexp_extract(text, r"^\s*([0-9.]+)\s*([KkMGT]?i?B)\s*$", 2)
     factor = F.lit(1.0)
     for i, letter in enumerate("KMGT", 1):
         factor = F.when(unit == f"{letter}iB", float(1024**i)).when(F.lower(unit) == f"{letter.lower()}b", float(1000**i)).otherwise(factor)

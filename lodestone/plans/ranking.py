@@ -42,7 +42,12 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_names(names, asked, 20)
 
 
-@query()
+@query(
+    f"""WITH {_PATHS}, k AS (SELECT document_id, path, regexp_extract(path, '[^/]+$') AS name, path LIKE '/src1/%' AS own, len(string_split(path, '/')) - 1 AS parts, modified FROM paths),
+t AS (SELECT *, CASE WHEN name = '10' OR regexp_replace(name, '[.][^.]*$', '') = '10' THEN 5 WHEN starts_with(name, '10') THEN 4 WHEN contains(name, '10') THEN 2 ELSE 1 END AS tier FROM k)
+SELECT document_id, path, CASE WHEN own THEN 2 ELSE 1 END AS place, tier >= 3 AS strong, (modified >= 1706572800 - 30 * 86400)::INT AS used, own AND parts = 2 AS top_level, tier, own AS user_file, CASE WHEN own THEN 1 - parts ELSE -1 - parts END AS depth, -length(name) AS length, 0 AS fuzzy
+FROM t ORDER BY place DESC, strong DESC, used DESC, top_level DESC, tier DESC, user_file DESC, depth DESC, length DESC, document_id LIMIT 50"""
+)
 def keyed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The launcher's order over the catalog for the query 'src1'."""
     d = paths(spark, sf_dir).withColumn("name", F.regexp_extract("path", "[^/]+$", 0))

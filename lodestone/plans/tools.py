@@ -43,7 +43,10 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", convert.converted_units(F.concat(F.col("p_size").cast("string"), F.lit(" MiB in kib"))).alias("value"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT page_id, list_reduce([14695981039346656037::UHUGEINT] || list_transform(range(1, length(url) + 1), lambda i: ord(url[i])::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM pages)
+SELECT page_id, CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END::BIGINT AS id FROM h"""
+)
 def path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable 64-bit ids of page addresses."""
     return table(spark, sf_dir, "pages").select("page_id", convert.fnv1a_64("url").alias("id"))
