@@ -28,7 +28,7 @@ def upsert(catalog: DataFrame, changes: DataFrame, generation: int) -> DataFrame
     """catalog(document_id, identity, path, body, bytes, revision, seen) after changes(identity, path, body, bytes).
 
     Known identities keep their id and gain a revision if anything changed; another identity that held a
-    changed path goes; new identities get ids above all that were ever given, in identity order. Nothing
+    changed path goes; new identities get distinct ids above all that the catalog holds, without gaps. Nothing
     else is touched, and rows that are not in the changes keep what they saw last.
     """
     new = deduplicated_scan(changes).select("identity", *[F.col(c).alias(f"n_{c}") for c in ("path", "body", "bytes")])
@@ -51,7 +51,10 @@ def upsert(catalog: DataFrame, changes: DataFrame, generation: int) -> DataFrame
 
 
 def with_dense_ids(rows: DataFrame, order: str, name: str, buckets: int = 256) -> DataFrame:
-    """Numbers from 1 in the order of a key, without moving all rows to one task: counts of key ranges first."""
+    """Numbers from 1 without gaps, without moving all rows to one task: counts of hash buckets of a key come first.
+
+    Numbers follow the bucket, then the key: the same keys always get the same numbers, but not in key order.
+    """
     bucket = F.pmod(F.xxhash64(order), F.lit(buckets))
     counts = rows.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")

@@ -101,8 +101,7 @@ def best_passage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs(spark, sf_dir)
     index = lexical.word_index(rows, "id", {"text": 1.0})
     asked = questions(spark, sf_dir, 3)
-    # the strict lane alone: a relaxed lane follows only below three hits
-    hits = lexical.search_passages(index, asked).where("not relaxed")
+    hits = lexical.search_strict(index, asked)
     out = lexical.best_passage(hits, rows.select("id", "document_id"))
     return out.select("query_id", "document_id", "id", F.round("rank", 6).alias("rank"), "place")
 

@@ -13,14 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cut_bytes
-from lodestone.operators.filters import collapsed_paths, excluded, indexable, scope_predicate
+from lodestone.operators.filters import DOCUMENT_EXTENSIONS, TEXT_EXTENSIONS, collapsed_paths, excluded, indexable, scope_predicate
 
 MAX_TEXT, BODY = 2 << 20, 64 << 10
 
 
 def files(spark: SparkSession, root: str, scope: list[str] | None = None) -> DataFrame:
-    """(path, modified_ns, bytes, content) below a folder; excluded and unsupported paths are pruned before content is read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, modified_ns, bytes, content) below a folder.
+
+    Unsupported extensions are left out of the listing, so their content is never read. Excluded folders and paths
+    out of scope are filtered by path, which the reader can't push down: they are read but go before any decoding.
+    """
+    # a glob of the extensions in either case
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in [*TEXT_EXTENSIONS, *DOCUMENT_EXTENSIONS]]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(either) + "}").load(root)
     local = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
     base = re.sub("^[a-z]+:/*(?=/)", "", root).rstrip("/")
     inside = F.substring(local, len(base) + 1, 1 << 20)

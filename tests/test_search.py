@@ -43,6 +43,16 @@ def test_scope_restricts_before_the_limit(spark):
     assert [r.id for r in out] == [2]
 
 
+def test_a_stored_index_reads_only_its_terms_buckets(spark, tmp_path):
+    index, asked = _index(spark), _asked(spark, "renewal deadline", "notes")
+    stored = index.written(str(tmp_path / "index"), buckets=16)
+    out = lexical.search_documents(stored, asked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "PartitionFilters" in line and "bucket" in line]
+    assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, lexical.search_documents(index, asked).collect()))
+
+
 def test_question_terms(spark):
     row = spark.range(1).select(question_terms(F.lit("Where did the Invoice, invoice and AUDIT go?")).alias("t")).first()
     assert row.t == ["invoice", "audit"]
