@@ -11,7 +11,8 @@ A conversation is one row of ordered turns, as a chat model needs it whole; the
 (turn, role, text), so ties and repeated rows have a defined order.
 
 Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own; a null
-turn sorts first; roles other than ``assistant`` are context; other columns are ignored.
+turn sorts first; roles other than ``assistant`` are context; texts of any length are formatted whole; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

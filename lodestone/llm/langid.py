@@ -12,7 +12,8 @@ Letters are lower-cased; every run of other characters counts as one space, also
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that
 sorts first; with no labelled text at all every text is ``und``; negative cosines score 0; rows with a null
-label or text teach nothing; other columns are ignored.
+label or text teach nothing; texts of any length count whole; repeated rows teach and are answered each time; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

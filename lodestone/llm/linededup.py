@@ -12,7 +12,8 @@ Lines of fewer than ``min_words`` words are left alone. Counting is by (leaf, po
 leaf is ever held by one task, and the outcome does not depend on the order of the input.
 
 Defined cases: null text stays null, an empty text stays empty; rows sharing a doc_id are one document;
-rows with a null doc_id are kept as they are and do not count; blank and short lines are kept; columns
+rows with a null doc_id are kept as they are and do not count; blank and short lines are kept; lines and texts of
+any length are taken whole; of documents with a line the smallest doc_id keeps it; an empty table gives no rows; columns
 other than doc_id and text pass through whatever their names.
 """
 

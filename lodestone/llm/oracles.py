@@ -6,7 +6,7 @@ against brute force, the tokenizer's own library and held-out accuracy.
 
 from __future__ import annotations
 
-from lodestone.llm.quality import PRODUCTION
+from lodestone.llm.quality import POLICIES, PRODUCTION
 from lodestone.llm.quality import RULES as QUALITY_RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens F
 _rejected = " OR ".join(f"({r.fails})" for r in QUALITY_RULES if r.name in PRODUCTION.rules)
 _bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in QUALITY_RULES)
 
-QUALITY = rf"""
+_MEASURES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
@@ -33,10 +33,20 @@ p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unn
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines_with_words FROM w LEFT JOIN p USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+
+QUALITY = rf"""{_MEASURES}SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT ({_rejected}) AS kept, ({_bits})::BIGINT AS fail_bits FROM m
 """
 
+_failed = {r.name: f"({r.fails})" for r in QUALITY_RULES}
+_cases = "\nUNION ALL ".join(
+    f"SELECT '{p.version}' AS policy, '{name}' AS rule, count(*) FILTER ({_failed[name]}) AS failed, count(*) FILTER ({' AND '.join(_failed[o] if o == name else f'NOT {_failed[o]}' for o in p.rules)}) AS failed_alone, count(*) FILTER ({' OR '.join(_failed[o] for o in p.rules)}) AS rejected FROM m"
+    for p in POLICIES
+    for name in p.rules
+)
+ABLATIONS = f"{_MEASURES}{_cases}"
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: SHA-1 hex as base32: four bits a digit, read again five at a time.
 _BASE32 = f"array_to_string(list_transform(range(0, 32), lambda g: '{_ALPHABET}'[1 + list_sum(list_transform(range(0, 5), lambda k: (((position(s[1 + (g * 5 + k) // 4] IN '0123456789abcdef') - 1) >> (3 - (g * 5 + k) % 4)) & 1) << (4 - k)))::INT]), '')"
@@ -91,6 +101,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 ORACLES: dict[str, str] = {
     "op1_token_counts": TOKEN_COUNTS,
     "op4_quality_rules": QUALITY,
+    "quality_ablations": ABLATIONS,
     "op7_warc": WARC,
     "op8_chat": CHAT,
     "op9_license_scan": LICENCES,

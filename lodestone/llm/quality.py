@@ -4,8 +4,9 @@ Each text is measured once; every rule becomes one bit of ``fail_bits`` next to
 is a named version with a mask of rules, so applying it, comparing versions and computing ablations are
 bit operations on the ledger; no text is read again.
 
-Defined cases: a null text has no words and fails the base rules like an empty one; repeated rows give
-repeated results; columns other than doc_id and text are ignored.
+Defined cases: a null text has no words and fails the base rules like an empty one; texts of any length are
+measured whole; repeated rows give repeated results; an empty table gives no rows; columns other than doc_id and
+text are ignored, but the ledger's own columns replace others of their names (``keep_good`` changes no column).
 """
 
 from __future__ import annotations

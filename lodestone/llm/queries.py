@@ -44,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, from the ledger of operator 4."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encoded(_table(spark, sf_dir, "documents"), word_bpe_path(), ["doc_id"])
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -80,5 +85,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination)
+    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination, quality_ablations)
 }

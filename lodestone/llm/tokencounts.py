@@ -9,7 +9,8 @@ an unfinished batch is overwritten. Totals are the sum over committed batches in
 replaces them by one base that remembers their names.
 
 Defined cases: null source or lang is a group of its own; null counts are 0; repeated rows count each
-time they come; an empty batch commits nothing but its name; other columns are ignored.
+time they come; texts of any length are counted whole; an empty batch commits nothing but its name; of equal texts
+the smallest doc_id stays, and all rows that share it; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -81,7 +81,7 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to) of each page; refers_to is null for responses."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sum", F.unhex(F.sha2("payload", 256)))
-    # payloads stay where they are unless they come twice; only digests are counted
+    # groups are found from digests alone; the join then moves each payload once, to its digest's task
     first = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sum", "first")
     joined = rows.join(first, "sum", "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))

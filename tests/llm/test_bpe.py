@@ -56,3 +56,26 @@ def test_table(spark, library):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert (key, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)) in got
     assert bpe.encoded(spark.createDataFrame([], "doc_id long, text string"), PATH, ["doc_id"]).count() == 0
+
+
+def test_colliding_words_are_told_apart(library, tmp_path):
+    """Words that a polynomial hash modulo a power of two takes for one, and hashes that are all the same."""
+    tok = bpe.Tokenizer(PATH)
+    (tmp_path / "lexicon").write_bytes(bpe.Lexicon.compiled([], tok))
+    texts = []
+    for n in (1024, 2048, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        texts += [a, a.translate(str.maketrans("ab", "ba"))]
+    ids, first = bpe.encode(texts, tok, bpe.Lexicon(str(tmp_path / "lexicon")))
+    for i, text in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    data = np.frombuffer(b"oneonetwoon", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    example, which = bpe.distinct_words(data, starts, ends, np.zeros(4, np.uint64))
+    assert example.tolist() == [0, 2, 3] and which.tolist() == [0, 0, 1, 2]
+
+
+def test_very_long_texts(spark, library):
+    text = "The cat's naïve hat " * 60_000 + "x" * 300_000
+    rows = bpe.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, ["doc_id"]).collect()
+    assert np.frombuffer(bytes(rows[0].ids), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

@@ -52,3 +52,31 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in contamination(docs, none, bloom_log2=12).collect()] == [0]
     assert contamination(docs.limit(0), none, bloom_log2=12).count() == 0
+
+
+def test_null_and_repeated_ids_go_by_their_text(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "x " + item.upper()), (None, "clean text"), (1, "own words"), (1, item), (2, None), (3, "")]
+    df = spark.createDataFrame([(*r, "t", "k") for r in rows], "doc_id long, text string, _text_key string, _dirty_key string")
+    kept = clean(df, bench, bloom_log2=12)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "clean text"), (1, "own words"), (2, None), (3, "")], key=str)
+
+
+def test_structured_words_are_told_apart(spark):
+    """Words that a polynomial hash modulo a power of two takes for one."""
+    for n in (1024, 2048, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+        got = contamination(spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id long, text string"), bench, bloom_log2=12)
+        assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 1, 2: 0}
+
+
+def test_very_long_texts(spark):
+    item = " ".join(f"b{i}" for i in range(10))
+    text = " ".join(f"w{i}" for i in range(150_000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = contamination(spark.createDataFrame([(1, f"{text} {item} {text}"), (2, text + "z" * 500_000)], "doc_id long, text string"), bench, bloom_log2=12)
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got.collect()} == {1: (300_010, 10), 2: (150_000, 0)}

@@ -89,6 +89,98 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert got == {1: (None, 1, "a", 0, 0), 2: ("", 2, "b", 1, 0), None: (PASSAGE, 3, "c", 1, 0), 4: (PASSAGE, 4, "d", 1, 0), 5: ("", 5, None, 1, 1)}
 
 
+def test_structured_words_are_told_apart(spark):
+    """Words that a polynomial hash modulo a power of two takes for one."""
+    for n in (1024, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        docs = [(i, " ".join([w] * 6)) for i, w in enumerate((a, b, a))]
+        assert run(spark, docs) == {0: docs[0][1], 1: docs[1][1], 2: ""}
+
+
+def test_very_long_texts(spark):
+    own = lambda p: "\n".join(f"{p}{word(i)} goes its own way alone number {p}{word(i * 7)}" for i in range(40))
+    wide = " ".join(f"w{word(i)}" for i in range(9000))
+    docs = [(1, f"{wide}\n{PASSAGE}"), (2, f"{PASSAGE}\n{wide}"), (3, "x" * 400_000)]
+    assert run(spark, docs) == {1: docs[0][1], 2: "", 3: docs[2][1]}
+    assert run(spark, [(1, own("a")), (2, own("a"))])[2] == ""
+
+
+def brute_templates(rows, depth=3, share=0.7):
+    """Texts after the operator, by its definition over plain lists: families of a leaf, constant words, folds to the end."""
+    field = "\0"
+    lines = {}
+    for key, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            w = line.split()
+            if len(w) < 6:
+                continue
+            plain = [x for x in w if not any(c.isdigit() for c in x)]
+            masked = tuple(field if any(c.isdigit() for c in x) else x for x in w) if 2 * len(plain) >= len(w) else tuple(w)
+            lines.setdefault((len(w), masked[:depth]), []).append((key, n, masked))
+    drop = {}
+    for leaf in lines.values():
+        nodes = {m: frozenset((i, x) for i, x in enumerate(m) if x != field and not (any(c.isdigit() for c in x))) for _, _, m in leaf}
+        size = len(leaf[0][2])
+        name = {m: ("line", m) for m in nodes}
+        live = {m: spots for m, spots in nodes.items() if len(spots) >= share * size - 1e-9} if len(nodes) > 1 else {}
+
+        def fold(sets):
+            counts = {}
+            for s in sets:
+                for x in s:
+                    counts[x] = counts.get(x, 0) + 1
+            out = {}
+            for s in sets:
+                seen = sorted((counts[x] for x in s if counts[x] > 1), reverse=True)
+                need = -int(-(share * size - 1e-9) // 1)
+                if len(seen) >= need:
+                    out[s] = frozenset(x for x in s if counts[x] > 1 and 2 * counts[x] > seen[need - 1])
+            return out
+
+        # the first fold is of lines, so equal constant parts of different lines count apart
+        counts = {}
+        for s in live.values():
+            for x in s:
+                counts[x] = counts.get(x, 0) + 1
+        now = {}
+        need = -int(-(share * size - 1e-9) // 1)
+        for m, s in live.items():
+            seen = sorted((counts[x] for x in s if counts[x] > 1), reverse=True)
+            if len(seen) >= need:
+                now[m] = frozenset(x for x in s if counts[x] > 1 and 2 * counts[x] > seen[need - 1])
+        while True:
+            step = fold(set(now.values()))
+            moved = {m: step.get(s, s) for m, s in now.items()}
+            if moved == now:
+                break
+            now = moved
+        for m, s in now.items():
+            name[m] = ("template", s)
+        groups = {}
+        for key, n, m in leaf:
+            groups.setdefault(name[m], []).append((key, n))
+        for places in groups.values():
+            owner = min(k for k, _ in places)
+            if len({k for k, _ in places}) > 1:
+                for k, n in places:
+                    if k != owner:
+                        drop.setdefault(k, set()).add(n)
+    return {key: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop.get(key, ())) for key, text in rows}
+
+
+def test_equals_brute_force(spark):
+    """Both ways: what recurs by a template goes, and nothing else."""
+    rng = random.Random(11)
+    frames = ["we met {} near the old town of {} on a very cold day", "we met {} at the new house by {} on one warm day", "order {} of {} pieces left the north store with {} today", "{} {} {} {} {} {} {}", "a plain line that many of them have in common with others"]
+    value = lambda: rng.choice([word(rng.randrange(40)), word(rng.randrange(900)), str(rng.randrange(99)), "x1"])
+    docs = []
+    for i in range(120):
+        lines = [f.format(*(value() for _ in range(f.count("{}")))) for f in rng.choices(frames, k=rng.randrange(5))]
+        docs.append((i, "\n".join([*lines, rng.choice(["", "short one", "zz " + " ".join(word(rng.randrange(9999)) for _ in range(9))])])))
+    assert run(spark, docs) == brute_templates(docs)
+
+
 def test_exact_recurrence_against_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     owner = {}
