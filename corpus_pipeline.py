@@ -23,10 +23,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; five words, similarity of 0.8 or more."""
+    """One document of each group stays, that of the smallest doc_id; five words, similarity of 0.8 or more.
+
+    Rows that share a doc_id are one document, and stay or go together; rows without one can't be named and stay.
+    """
     groups = jaccard.near_duplicates(docs, k=5, num=80, den=100)
-    gone = store.written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+    gone = store.written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.join(gone, plain[docs.columns.index("doc_id")] == gone["gone"], "left_anti").toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: Stages 2, 3 and 5 are beyond SQL; tests hold run() against a brute-force version.
+#: Stages 2, 3 and 5 are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
