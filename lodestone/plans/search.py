@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import chunking, vectors
 from lodestone.functions.text import STOPWORDS, excerpt, question_terms
 from lodestone.operators import fusion, inventory, lexical
+from lodestone.operators.neighbours import CellIndex, by_document, nearest
 from lodestone.plans.registry import query, table
 
 
@@ -127,40 +128,6 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """Exact cosine top rows of a bounded set of queries(query_id, q) over all rows(id, v).
-
-    The queries go to every task, each task keeps its best per query, and only those meet.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    asked = queries.select("query_id", "q")
-    if asked.limit(100_001).count() > 100_000:
-        raise ValueError("split the queries into blocks of 100000")
-    held = [(r.query_id, r.q) for r in asked.toLocalIterator()]
-    keys = np.array([k for k, _ in held], dtype=np.int64)
-    matrix = rows.sparkSession.sparkContext.broadcast(np.array([q for _, q in held], dtype=np.float64).reshape(len(held), -1))
-
-    def scan(batches):
-        m, best_d, best_i = matrix.value, np.full((len(keys), 0), 0.0), np.zeros((len(keys), 0), np.int64)
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            v = np.array(batch.column("v").to_pylist(), dtype=np.float64)
-            for at in range(0, len(ids), 1024):
-                d = np.round(np.clip(1.0 - m @ v[at : at + 1024].T, 0.0, 2.0), 9)
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids[at : at + 1024], d.shape)], axis=1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :most]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_d.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(keys, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "id", "distance"])
-
-    best = rows.where("v is not null").select("id", "v").mapInArrow(scan, "query_id long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return best.withColumn("place", place).where(F.col("place") <= most)
-
-
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 
 
@@ -174,6 +141,36 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 50 as a query, and all vectors as rows."""
+    u = _units(spark, sf_dir)
+    return u.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), u.select(F.col("vec_id").alias("id"), "v")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def cell_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index of cells finds at least nine tenths of the exact ten nearest, over all its queries."""
+    asked, rows = _asked(spark, sf_dir)
+    # vectors without clusters, as these are, need three quarters of the cells; clustered ones need a few
+    found = CellIndex.built(rows, 64).search(asked, 10, 48)
+    exact = nearest(asked, rows, 10)
+    recall = inventory.recall_at(found.withColumnRenamed("place", "position"), exact.withColumnRenamed("place", "position"), 10)
+    return asked.agg(F.count("*").alias("queries")).join(recall).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(
+    f"""WITH {_UNIT}, d AS (SELECT q.vec_id AS query_id, u.vec_id // 3 AS document_id, min(round(least(2, greatest(0, 1 - list_dot_product(q.v, u.v))), 9)) AS distance FROM u q, u WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, document_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS place FROM d) WHERE place <= 5"""
+)
+def document_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of three vectors each by their nearest one; all cells probed, a third of the rows newer than the index."""
+    asked, rows = _asked(spark, sf_dir)
+    index = CellIndex.built(rows.where("id % 3 <> 0"), 16)
+    found = index.search(asked, 20, 16, newer=rows.where("id % 3 = 0"))
+    out = by_document(found, rows.select("id", F.floor(F.col("id") / 3).alias("document_id")), 5)
+    return out.select("query_id", "document_id", F.round("distance", 6).alias("distance"))
+
+
 @query(
     """WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127.0 AS scale FROM embeddings),
 q AS (SELECT vec_id, embedding, scale, list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE / scale)::INT))) AS q FROM s)

@@ -105,3 +105,27 @@ def test_nearest_and_recall(spark):
     out = nearest(asked, rows, 3).orderBy("place").select("query_id", "id", F.col("place").alias("position"))
     assert [r.id for r in out.collect()] == [3, 4, 5]
     assert inventory.recall_at(out, out, 3).first().recall == 1.0
+
+
+def test_cell_index_against_the_exact_scan(spark, tmp_path):
+    import random
+
+    from lodestone.operators.neighbours import CellIndex
+
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = spark.createDataFrame([(i, [x + rng.gauss(0, 0.4) for x in centres[i % 20]]) for i in range(2000)] + [(5000, None)], "id long, e array<double>")
+    rows = rows.select("id", vectors.unit(F.col("e")).alias("v")).cache()
+    asked = rows.where("id % 50 = 0 and v is not null").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = nearest(asked, rows, 10, block_bytes=1000)
+    as_list = lambda df: df.select("query_id", "id", F.col("place").alias("position"))
+    whole = sorted((r.query_id, r.position, r.id) for r in as_list(exact).collect())
+    index = CellIndex.built(rows, 20, sample=500).written(spark, str(tmp_path / "cells"))
+    assert index.rows.count() == 2000
+    assert sorted((r.query_id, r.position, r.id) for r in as_list(index.search(asked, 10, 20)).collect()) == whole
+    assert inventory.recall_at(as_list(index.search(asked, 10, 4)), as_list(exact), 10).first().recall >= 0.9
+    older = CellIndex.built(rows.where("id < 1500"), 20)
+    assert sorted((r.query_id, r.position, r.id) for r in as_list(older.search(asked, 10, 20, newer=rows.where("id >= 1400"))).collect()) == whole
+    scope = rows.where("id < 700").select("id")
+    scoped = as_list(index.search(asked, 3, 1, scope=scope)).collect()
+    assert sorted((r.query_id, r.position, r.id) for r in scoped) == sorted((r.query_id, r.position, r.id) for r in as_list(nearest(asked, rows.where("id < 700"), 3)).collect())
