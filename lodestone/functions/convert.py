@@ -241,15 +241,102 @@ def offset_timestamp(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z")))
 
 
-#: City and abbreviation aliases beyond the zone database (fixed values).
+# Abbreviation, city and country aliases beyond the zone database.
 ZONE_ALIASES = {
-    "utc": "UTC", "gmt": "Etc/GMT", "z": "UTC", "pst": "America/Los_Angeles", "pdt": "America/Los_Angeles", "pt": "America/Los_Angeles", "est": "America/New_York",
-    "edt": "America/New_York", "et": "America/New_York", "cst": "America/Chicago", "cdt": "America/Chicago", "mst": "America/Denver", "mdt": "America/Denver",
-    "cet": "Europe/Paris", "cest": "Europe/Paris", "bst": "Europe/London", "ist": "Asia/Kolkata", "jst": "Asia/Tokyo", "kst": "Asia/Seoul", "hkt": "Asia/Hong_Kong",
-    "sgt": "Asia/Singapore", "aest": "Australia/Sydney", "aedt": "Australia/Sydney", "nyc": "America/New_York", "sf": "America/Los_Angeles", "san francisco": "America/Los_Angeles",
-    "seattle": "America/Los_Angeles", "boston": "America/New_York", "washington": "America/New_York", "miami": "America/New_York", "montreal": "America/Toronto", "ottawa": "America/Toronto",
-    "beijing": "Asia/Shanghai", "mumbai": "Asia/Kolkata", "delhi": "Asia/Kolkata", "bangalore": "Asia/Kolkata", "munich": "Europe/Berlin", "frankfurt": "Europe/Berlin",
-    "geneva": "Europe/Zurich", "milan": "Europe/Rome", "barcelona": "Europe/Madrid", "osaka": "Asia/Tokyo",
+    "utc": "UTC",
+    "gmt": "UTC",
+    "z": "UTC",
+    "et": "America/New_York",
+    "est": "America/New_York",
+    "edt": "America/New_York",
+    "eastern": "America/New_York",
+    "ct": "America/Chicago",
+    "cst": "America/Chicago",
+    "cdt": "America/Chicago",
+    "central": "America/Chicago",
+    "mt": "America/Denver",
+    "mst": "America/Denver",
+    "mdt": "America/Denver",
+    "mountain": "America/Denver",
+    "pt": "America/Los_Angeles",
+    "pst": "America/Los_Angeles",
+    "pdt": "America/Los_Angeles",
+    "pacific": "America/Los_Angeles",
+    "cet": "Europe/Paris",
+    "cest": "Europe/Paris",
+    "bst": "Europe/London",
+    "ist": "Asia/Kolkata",
+    "jst": "Asia/Tokyo",
+    "kst": "Asia/Seoul",
+    "aest": "Australia/Sydney",
+    "aedt": "Australia/Sydney",
+    "hkt": "Asia/Hong_Kong",
+    "sgt": "Asia/Singapore",
+    "montreal": "America/Toronto",
+    "montréal": "America/Toronto",
+    "quebec": "America/Toronto",
+    "quebec city": "America/Toronto",
+    "ottawa": "America/Toronto",
+    "nyc": "America/New_York",
+    "ny": "America/New_York",
+    "new york city": "America/New_York",
+    "boston": "America/New_York",
+    "washington": "America/New_York",
+    "washington dc": "America/New_York",
+    "dc": "America/New_York",
+    "miami": "America/New_York",
+    "atlanta": "America/New_York",
+    "philadelphia": "America/New_York",
+    "san francisco": "America/Los_Angeles",
+    "sf": "America/Los_Angeles",
+    "la": "America/Los_Angeles",
+    "seattle": "America/Los_Angeles",
+    "portland": "America/Los_Angeles",
+    "san jose": "America/Los_Angeles",
+    "silicon valley": "America/Los_Angeles",
+    "las vegas": "America/Los_Angeles",
+    "austin": "America/Chicago",
+    "dallas": "America/Chicago",
+    "houston": "America/Chicago",
+    "new orleans": "America/Chicago",
+    "calgary": "America/Edmonton",
+    "beijing": "Asia/Shanghai",
+    "shenzhen": "Asia/Shanghai",
+    "guangzhou": "Asia/Shanghai",
+    "delhi": "Asia/Kolkata",
+    "new delhi": "Asia/Kolkata",
+    "mumbai": "Asia/Kolkata",
+    "bangalore": "Asia/Kolkata",
+    "bengaluru": "Asia/Kolkata",
+    "hyderabad": "Asia/Kolkata",
+    "chennai": "Asia/Kolkata",
+    "osaka": "Asia/Tokyo",
+    "kyoto": "Asia/Tokyo",
+    "tel aviv": "Asia/Jerusalem",
+    "abu dhabi": "Asia/Dubai",
+    "hanoi": "Asia/Ho_Chi_Minh",
+    "milan": "Europe/Rome",
+    "florence": "Europe/Rome",
+    "barcelona": "Europe/Madrid",
+    "munich": "Europe/Berlin",
+    "frankfurt": "Europe/Berlin",
+    "hamburg": "Europe/Berlin",
+    "geneva": "Europe/Zurich",
+    "edinburgh": "Europe/London",
+    "manchester": "Europe/London",
+    "rio": "America/Sao_Paulo",
+    "rio de janeiro": "America/Sao_Paulo",
+    "hawaii": "Pacific/Honolulu",
+    "uk": "Europe/London",
+    "japan": "Asia/Tokyo",
+    "france": "Europe/Paris",
+    "germany": "Europe/Berlin",
+    "italy": "Europe/Rome",
+    "spain": "Europe/Madrid",
+    "india": "Asia/Kolkata",
+    "china": "Asia/Shanghai",
+    "korea": "Asia/Seoul",
+    "south korea": "Asia/Seoul",
 }
 
 
@@ -324,7 +411,7 @@ def _units() -> dict[str, dict[str, tuple[float, float]]]:
         add("speed", factor, names)
     for factor, names in ((1e-3, "ml,milliliter,milliliters"), (1e-2, "cl"), (1, "l,liter,liters,litre,litres"), (3.785411784, "gal,gallon,gallons"), (0.946352946, "qt,quart,quarts"), (0.473176473, "pt,pint,pints"), (0.2365882365, "cup,cups"), (0.0295735295625, "floz,fl oz"), (0.01478676478125, "tbsp"), (0.00492892159375, "tsp")):
         add("volume", factor, names)
-    for factor, names in ((1, "m2,sqm"), (1e6, "km2"), (1e4, "ha,hectare,hectares"), (0.09290304, "sqft,ft2"), (4046.8564224, "acre,acres"), (2589988.110336, "sqmi,mi2")):
+    for factor, names in ((1, "m2,sqm"), (1e6, "km2,sqkm"), (1e4, "ha,hectare,hectares"), (0.09290304, "sqft,ft2"), (4046.8564224, "acre,acres"), (2589988.110336, "sqmi,mi2")):
         add("area", factor, names)
     for factor, names in ((1, "pa,pascal"), (1e3, "kpa"), (1e5, "bar"), (101325, "atm"), (6894.757293168, "psi"), (133.322387415, "mmhg,torr")):
         add("pressure", factor, names)
@@ -336,11 +423,19 @@ def _units() -> dict[str, dict[str, tuple[float, float]]]:
         add("angle", factor, names)
     for factor, names in ((1, "hz,hertz"), (1e3, "khz"), (1e6, "mhz"), (1e9, "ghz"), (1 / 60, "rpm")):
         add("frequency", factor, names)
+    for factor, names in ((1, "bps"), (1e3, "kbps"), (1e6, "mbps"), (1e9, "gbps"), (8e6, "mb/s"), (8e9, "gb/s")):
+        add("data rate", factor, names)
+    # litres on a hundred kilometres; the others are distances on a volume, their inverse
+    add("fuel", 1, _HUNDRED)
+    add("fuel", 100 * 3.785411784 / 1.609344, "mpg")
+    add("fuel", 100, "km/l")
     return out
 
 
+_HUNDRED = "l per hundred km"
+INVERSE = {"mpg", "km/l"}
 UNITS = _units()
-_PART = re.compile(r"([-+]?\d[\d,]*(?:\.\d+)?|[-+]?\.\d+)\s*([^\d\s][^\d]*?)(?=\s*(?:[-+]?[\d.]|$))")
+_PART = re.compile(r"([-+]?\d[\d,]*(?:\.\d+)?(?:e[-+]?\d+)?|[-+]?\.\d+)\s*([^\d\s][^\d]*?)(?=\s*(?:[-+]?[\d.]|$))")
 
 
 def _reading(name: str, dimension: str | None = None) -> tuple[str, float, float] | None:
@@ -356,7 +451,9 @@ def _reading(name: str, dimension: str | None = None) -> tuple[str, float, float
 
 def converted(text: str | None) -> str | None:
     """'5 ft 11 in to cm', '72f in c', \"5'11\\\" to m\", '1h 30m in min' -> '180.34 cm'; None if it is no conversion."""
-    m = re.fullmatch(r"(?is)\s*(.+)\s+(?:to|in|as|=)\s+(\D+?)\s*", text or "")
+    plain = re.sub(r"(?i)\bl/100 ?km\b", _HUNDRED, text or "")
+    plain = re.sub(r"(?i)\b(km|mi|ft|m)2(?!\d)", r"sq\1", plain)
+    m = re.fullmatch(r"(?is)\s*(.+)\s+(?:to|in|as|=)\s+(\D+?)\s*", plain)
     if not m:
         return None
     target = _reading(m[2])
@@ -366,13 +463,22 @@ def converted(text: str | None) -> str | None:
     parts = _PART.findall(source)
     if not parts or "".join("".join(p) for p in parts).replace(" ", "") != source.replace(" ", ""):
         return None
-    readings = [(float(n.replace(",", "")), _reading(u, target[0])) for n, u in parts]
-    if any(r is None for _, r in readings) or len(parts) > 1 and any(r[2] for _, r in readings):
+    readings = [(float(n.replace(",", "")), u.strip().lower(), _reading(u, target[0])) for n, u in parts]
+    alone = len(parts) == 1
+    if any(r is None or not alone and (r[2] or u in INVERSE) for _, u, r in readings):
         # m alone may mean minutes where the target is a time
         return None
-    base = sum(n * r[1] + r[2] for n, r in readings)
-    value = (base - target[2]) / target[1]
-    return f"{number_format(float(f'{value:.10g}'))} {m[2].strip()}"
+    if any(u in INVERSE and not n for n, u, _ in readings):
+        return None
+    base = sum(r[1] / n if u in INVERSE else n * r[1] + r[2] for n, u, r in readings)
+    if m[2].strip().lower() in INVERSE:
+        if not base:
+            return None
+        value = target[1] / base
+    else:
+        value = (base - target[2]) / target[1]
+    shown = re.fullmatch(r"(?is).*\s(?:to|in|as|=)\s+(\D+?|l/100 ?km|(?:km|mi|ft|m)2)\s*", text)
+    return f"{number_format(float(f'{value:.10g}'))} {shown[1] if shown else m[2].strip()}"
 
 
 @F.pandas_udf(T.StringType())

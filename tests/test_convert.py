@@ -57,3 +57,20 @@ def test_marks_and_validators(spark):
         text.is_private_clip(F.array(F.lit("a"), F.lit("hidden")), ["hidden"]).alias("p"),
     ).first()
     assert tuple(r) == (True, False, True, False, True, False, True)
+
+
+def test_fuel_rates_and_exponents():
+    from lodestone.functions.convert import ZONE_ALIASES, converted, zone
+
+    asked = {
+        "10 l/100km to mpg": "23.52145833 mpg",
+        "30 mpg to l/100km": "7.840486111 l/100km",
+        "30 mpg in km/l": "12.75431122 km/l",
+        "0 mpg to km/l": None,
+        "1 mbps in kbps": "1000 kbps",
+        "8 gb/s in gbps": "64 gbps",
+        "1e3 m to km": "1 km",
+        "100 sqft to m2": "9.290304 m2",
+    }
+    assert {t: converted(t) for t in asked} == asked
+    assert all(zone(v) for v in ZONE_ALIASES.values()) and zone("New Orleans") == "America/Chicago"
