@@ -18,7 +18,9 @@ proposes pairs with one pivot, the set in which the token comes earliest: it hol
 own, so it lies in the middle of its group. Links found are contracted to components; afterwards only
 buckets that still hold several components are looked at. While their pairs would outnumber their rows by
 far and a further pivot still ties components together, another round with other pivots follows; the pairs of
-different components that are left are then compared. What is left out could only link documents already connected.
+different components that are left are then compared, each where a run of common tokens starts. What is left
+out could only link documents already connected. Histograms of the sets bound from above what two texts can share
+and dismiss most pairs that don't link, so few sets move.
 
 Shingles are told apart by 64-bit hashes of 64-bit word hashes. Sets are made again from the texts, for
 documents of candidate pairs only: they are the bulk of what could be stored or moved.
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
@@ -167,8 +169,8 @@ def _prefixes(k: int, num: int, den: int, classes, sketch_log2: int):
     return run
 
 
-def _whole(k: int, num: int, den: int, classes, sketch_log2: int, wanted):
-    """(doc_id, data) of the wanted documents: the set's size, prefixes of the other two orders, the set."""
+def _of_wanted(k: int, classes, sketch_log2: int, wanted, packed):
+    """(doc_id, n, data) of the wanted documents: a set's size and what ``packed`` makes of the set and its words' commonness."""
     shift = U64(64 - sketch_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +180,70 @@ def _whole(k: int, num: int, den: int, classes, sketch_log2: int, wanted):
             batch = batch.filter(pa.array(wanted.value.has(np.ascontiguousarray(ids, dtype=np.int64))))
             if not batch.num_rows:
                 continue
-            keep, data = [], []
+            keep, sizes, data = [], [], []
             for r, s, common in shingle_sets(batch.column("text"), k, word_bits, shift):
                 if len(s):
                     keep.append(r)
-                    pre = [_prefix(s, common, table, shift, order, prefix_size(len(s), num, den)) for order in _ORDERS[1:]]
-                    data.append(b"".join(x.tobytes() for x in (np.array([len(s)], U64), *pre, s)))
-            yield pa.record_batch([_ids(batch).take(pa.array(keep, pa.int64())), _binary(data)], ["doc_id", "data"])
+                    sizes.append(len(s))
+                    data.append(packed(s, common, table, shift))
+            yield pa.record_batch([_ids(batch).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), _binary(data)], ["doc_id", "n", "data"])
+
+    return run
+
+
+def _as_histogram(s: np.ndarray, common: np.ndarray, table: np.ndarray, shift: np.uint64) -> bytes:
+    return cell_bytes(histogram(s))
+
+
+def _as_set(num: int, den: int):
+    """The set's size, its prefixes in the second and third orders, the set."""
+
+    def packed(s: np.ndarray, common: np.ndarray, table: np.ndarray, shift: np.uint64) -> bytes:
+        pre = [_prefix(s, common, table, shift, order, prefix_size(len(s), num, den)) for order in _ORDERS[1:]]
+        return b"".join(x.tobytes() for x in (np.array([len(s)], U64), *pre, s))
+
+    return packed
+
+
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """Counts of a set's tokens by their low bits; about four tokens a cell, 128 to 4096 cells.
+
+    Shared tokens fall into the same cells on both sides, so the sum of cell-wise minima exceeds the
+    intersection only by chance meetings of tokens that are not shared: a close upper bound, never below.
+    """
+    cells = 1 << min(12, max(7, int(len(tokens) // 4).bit_length()))
+    return np.bincount((tokens & U64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+
+
+def cell_bytes(cells: np.ndarray) -> bytes:
+    """A histogram in bytes. A cell beyond 255 would make the bound too low, so such a text gets one that says nothing."""
+    return cells.astype(np.uint8).tobytes() if cells.max(initial=0) < 256 else b""
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Upper bound of the intersection of two sets from their histograms; the larger one is folded."""
+    cells = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
+
+
+def _bounded(num: int, den: int):
+    """Of pairs (a, b, n_a, n_b, hist_a, hist_b) those whose histograms allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
+            keep = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.uint32)
+                common = most_common(x, y) if len(x) and len(y) else int(min(n_a[i], n_b[i]))
+                keep[i] = den * common >= num * (n_a[i] + n_b[i] - common)
+            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
 
 
 def _opened(data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(second prefix, third prefix, set) of what ``_whole`` packed behind the set's size."""
+    """(second prefix, third prefix, set) of what ``_as_set`` packed behind the set's size."""
     x = np.frombuffer(data.as_buffer(), U64)
     n, p = int(x[0]), (len(x) - 1 - int(x[0])) // 2
     return x[1 : p + 1], x[p + 1 : 2 * p + 1], x[len(x) - n :]
@@ -204,13 +257,13 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verify(num: int, den: int):
-    """Of pairs (a, b, data_a, data_b) those whose prefixes meet in the second and third orders and whose sets are similar."""
+    """Of pairs (a, b, n_a, n_b, data_a, data_b) those whose prefixes meet in the second and third orders and whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 (x2, x3, x), (y2, y3, y) = _opened(x), _opened(y)
                 if _common(x2, y2) and _common(x3, y3):
                     common = _common(x, y)
@@ -220,47 +273,71 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, named: DataFrame, whole, bloom_log2: int) -> DataFrame:
-    """Links (a, b) among distinct candidate pairs (a, b)."""
-    spark, (k, num, den, classes, sketch_log2) = named.sparkSession, whole
-    pairs = written(pairs, "op2-pairs")
+def _with_both(pairs: DataFrame, named: DataFrame, whole, packed, bloom_log2: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs(a, b, n_a, n_b, data_a, data_b), table to drop): made from the texts of the pairs' documents alone."""
+    k, _, _, classes, sketch_log2 = whole
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    wanted = spark.sparkContext.broadcast(bloom_of(ends, "doc_id", bloom_log2))
-    sets = named.mapInArrow(_whole(k, num, den, classes, sketch_log2, wanted), "doc_id long, data binary")
-    sets = written(sets.join(ends.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "data"]), "op2-whole")
+    wanted = named.sparkSession.sparkContext.broadcast(bloom_of(ends, "doc_id", bloom_log2))
+    rows = named.mapInArrow(_of_wanted(k, classes, sketch_log2, wanted, packed), "doc_id long, n long, data binary")
+    rows = written(rows.join(ends.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "data"]), "op2-wanted")
+    wanted.unpersist()
     both = pairs
     for side in "ab":
-        both = both.join(sets.select(F.col("doc_id").alias(side), F.col("data").alias(f"data_{side}")), side)
-    out = written(both.select("a", "b", "data_a", "data_b").mapInArrow(_verify(num, den), "a long, b long"), "op2-links")
-    wanted.unpersist()
+        both = both.join(rows.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}")), side)
+    return both.select("a", "b", "n_a", "n_b", "data_a", "data_b"), rows
+
+
+def _links(pairs: DataFrame, named: DataFrame, whole, bloom_log2: int) -> DataFrame:
+    """Links (a, b) among distinct candidate pairs (a, b): histograms first, then the other orders and whole sets."""
+    _, num, den, _, _ = whole
+    pairs = written(pairs, "op2-pairs")
+    both, rows = _with_both(pairs, named, whole, _as_histogram, bloom_log2)
+    near = written(both.mapInArrow(_bounded(num, den), "a long, b long").distinct(), "op2-bounded")
     drop(pairs)
-    drop(sets)
+    drop(rows)
+    both, rows = _with_both(near, named, whole, _as_set(num, den), bloom_log2)
+    out = written(both.mapInArrow(_verify(num, den), "a long, b long"), "op2-links")
+    drop(near)
+    drop(rows)
     return out
 
 
-def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, rep, n, hi, p, comp) rows of buckets whose members lie in several components and still allow each other's sizes."""
-    label = components(links).withColumnRenamed("id", "rep")
-    placed = rows.drop("comp").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    bucket = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("last"), F.min("n").alias("least_n"), F.max("hi").alias("most")).where("lo <> last").drop("lo", "last")
-    open_rows = placed.join(bucket, "token").where("hi >= least_n and n <= most").drop("least_n", "most")
-    return written(open_rows, "op2-open")
-
+def _ranked(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with their ``rank`` in the bucket and the bucket's ``first``: its pivot is the row of that rank.
 
-def _pivot_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """Distinct pairs of each bucket's pivot with its members in other components."""
+    The first round takes the set in which the token comes earliest, later rounds any.
+    """
     place = F.least("p", F.lit(LAST_PLACE)) if seed == 0 else F.lit(0)
     ranked = rows.withColumn("rank", place.cast("long") * F.lit(1 << 51) + F.shiftrightunsigned(F.xxhash64("rep", F.lit(seed)), 13))
-    best = ranked.groupBy("token").agg(F.min("rank").alias("rank"))
-    pivots = ranked.join(best, ["token", "rank"]).select("token", *[F.col(c).alias(f"v_{c}") for c in ("rep", "n", "hi", "comp")])
-    near = rows.join(pivots, "token").where("rep <> v_rep and comp <> v_comp and n <= v_hi and v_n <= hi")
+    return ranked.join(ranked.groupBy("token").agg(F.min("rank").alias("first")), "token")
+
+
+def _pivot_pairs(ranked: DataFrame) -> DataFrame:
+    """Distinct pairs of each bucket's pivot with its members in other components."""
+    pivots = ranked.where("rank = first").select("token", *[F.col(c).alias(f"v_{c}") for c in ("rep", "n", "hi", "comp")])
+    near = ranked.join(pivots, "token").where("rep <> v_rep and comp <> v_comp and n <= v_hi and v_n <= hi")
     return near.select(F.least("rep", "v_rep").alias("a"), F.greatest("rep", "v_rep").alias("b")).distinct()
 
 
+def _placed(ranked: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (token, rep, n, hi, p, comp) that may still link: in buckets of several components, where sizes allow it.
+
+    A pivot has been compared with its whole bucket and leaves it.
+    """
+    label = components(links).withColumnRenamed("id", "rep")
+    placed = ranked.where("rank <> first").drop("comp", "rank", "first").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    bucket = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("last"), F.min("n").alias("least_n"), F.max("hi").alias("most")).where("lo <> last").drop("lo", "last")
+    return placed.join(bucket, "token").where("hi >= least_n and n <= most").drop("least_n", "most")
+
+
 def _left_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket in different components: the smaller set's place must allow an equal or larger one."""
-    small = rows.where("hi >= n").select("token", *[F.col(c).alias(f"s_{c}") for c in ("rep", "n", "hi", "comp")])
-    order = "(s_n < n or (s_n = n and s_rep < rep)) and s_comp <> comp and n <= s_hi and s_n <= hi"
+    """Distinct pairs of a bucket in different components: the smaller set's place must allow an equal or larger one.
+
+    Two sets that also meet in the bucket of the token before, on both sides, were paired there.
+    """
+    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("rep", "n").orderBy("p", "token")))
+    small = rows.where("hi >= n").select("token", *[F.col(c).alias(f"s_{c}") for c in ("rep", "n", "hi", "comp", "before")])
+    order = "(s_n < n or (s_n = n and s_rep < rep)) and s_comp <> comp and n <= s_hi and s_n <= hi and not coalesce(s_before = before, false)"
     return small.join(rows, "token").where(order).select(F.least("rep", "s_rep").alias("a"), F.greatest("rep", "s_rep").alias("b")).distinct()
 
 
@@ -282,24 +359,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = texts.where("doc_id is not null")
     pre = named.mapInArrow(_prefixes(k, num, den, classes, sketch_log2), "doc_id long, n long, pre array<long>")
     pre = written(pre.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "pre"]), "op2-prefixes")
-    rows = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("pre").alias("p", "token"))
+    # the size and the place travel as one number
+    rows = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("pre").alias("p", "token")).select("token", "rep", (F.shiftleft("n", 24) + F.col("p")).alias("at"))
     busy = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    hi = F.expr(f"(n - p) * {den + num} div {num} - n")
-    rows = written(rows.join(busy, "token", "left_semi").select("token", "rep", "n", hi.alias("hi"), F.col("p").cast("int").alias("p"), F.col("rep").alias("comp")), "op2-busy")
+    held = rows.join(busy, "token", "left_semi").withColumn("n", F.shiftright("at", 24)).withColumn("p", F.col("at").bitwiseAND((1 << 24) - 1))
+    rows = written(held.select("token", "rep", "n", F.expr(f"(n - p) * {den + num} div {num} - n").alias("hi"), "p", F.col("rep").alias("comp")), "op2-busy")
     drop(pre)
 
     whole = (k, num, den, classes, sketch_log2)
-    links = _links(_pivot_pairs(rows, 0), named, whole, bloom_log2)
-    for turn in range(1, ROUNDS + 2):
-        before, rows = rows, _placed(rows, links)
-        drop(before)
+    links = None
+    for turn in range(ROUNDS + 1):
+        ranked = written(_ranked(rows, turn), "op2-ranked")
+        drop(rows)
+        more = _links(_pivot_pairs(ranked), named, whole, bloom_log2)
+        links = more if links is None else links.unionByName(more)
+        rows = written(_placed(ranked, links), "op2-open")
+        drop(ranked)
         sizes = rows.groupBy("token").agg(F.count("*").alias("c"), F.count_if(F.expr("hi >= n")).alias("s")).agg(F.sum("c").alias("rows"), F.sum(F.expr("c * s")).alias("pairs")).first()
         # where the last pivots tied little together, the rest are groups of their own
-        if not sizes.rows or turn > ROUNDS or sizes.pairs <= PAIRS_A_ROW * sizes.rows or (turn > 1 and 100 * found < sizes.rows):
+        if not sizes.rows or sizes.pairs <= PAIRS_A_ROW * sizes.rows or (turn and 100 * more.count() < sizes.rows):
             break
-        more = _links(_pivot_pairs(rows, turn), named, whole, bloom_log2)
-        found = more.count()
-        links = links.unionByName(more)
     links = links.unionByName(_links(_left_pairs(rows), named, whole, bloom_log2))
     drop(rows)
     # rows that share an id but not a text tie their classes together
