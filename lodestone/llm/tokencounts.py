@@ -30,12 +30,14 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 def signed_deltas(changes: DataFrame) -> DataFrame:
     """(source, lang, tokenizer, n_docs, n_tokens) sums of changes(op, source, lang, tokenizer, n_tokens, old_n_tokens).
 
-    op is insert, delete or revise; old_n_tokens matters to revise alone.
+    op is insert, delete or revise; old_n_tokens matters to revise alone. A column ``times`` (bigint), where there
+    is one, says for how many equal changes a row stands.
     """
     new, old = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.coalesce(F.col("old_n_tokens").cast("long"), F.lit(0))
     docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
     tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -new).otherwise(new - old)
-    rows = changes.select(*[F.col(c).cast("string").alias(c) for c in GROUP], docs.cast("long").alias("n_docs"), tokens.alias("n_tokens"))
+    times = F.coalesce(F.col("times").cast("long"), F.lit(1)) if "times" in changes.columns else F.lit(1)
+    rows = changes.select(*[F.col(c).cast("string").alias(c) for c in GROUP], (docs.cast("long") * times).alias("n_docs"), (tokens * times).alias("n_tokens"))
     return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in TOTALS])
 
 
@@ -108,9 +110,14 @@ def history(docs: DataFrame) -> dict[str, DataFrame]:
     n = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.unhex(F.sha2(t, 256)).alias("digest"), n(WORDS).alias("a"), n(WORDS_WITH_TEXT).alias("b"), n(RUNS).alias("c"))
     counts = store.written(counts, "op1-counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies = counts.join(first, "digest").where("doc_id > first")
-    row = lambda df, op, tok, new, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tok).alias("tokenizer"), F.col(new).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_n_tokens"))
+    # equal texts have equal counts, so copies are summed by group before they meet by text: a text in a third of all
+    # documents is a row for each source and language there
+    rows = counts.where("doc_id is not null").groupBy("digest", "source", "lang", "doc_id").agg(F.count("*").alias("rows"), F.any_value("b").alias("b"), F.any_value("c").alias("c"))
+    groups = rows.groupBy("digest", "source", "lang").agg(F.sum("rows").alias("n"), F.min("doc_id").alias("first"), F.min_by("rows", "doc_id").alias("at_first"), F.any_value("b").alias("b"), F.any_value("c").alias("c"))
+    least = groups.groupBy("digest").agg(F.min("first").alias("least"), F.sum("n").alias("all")).where("all > 1").select("digest", "least")
+    copies = groups.join(least, "digest").withColumn("times", F.col("n") - F.when(F.col("first") == F.col("least"), F.col("at_first")).otherwise(0)).where("times > 0")
+    one = lambda df: F.col("times") if "times" in df.columns else F.lit(1).cast("long")
+    row = lambda df, op, tok, new, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tok).alias("tokenizer"), F.col(new).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_n_tokens"), one(df).alias("times"))
     return {
         "load": row(counts, "insert", "words-1", "a"),
         "second": row(counts, "insert", "runs-2", "c"),

@@ -200,3 +200,28 @@ def test_history_counts(spark):
     got = Counter({(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()})
     assert got["s", "en", "words-1"] == (1, 3) and got["s", "en", "runs-2"] == (1, 3) and got["t", "en", "words-1"] == (1, 0)
     assert ("t", None, "words-1") not in got  # the empty text is a copy of the null one
+
+
+def test_history_equals_brute_force(spark):
+    """Copies over sources, repeated rows of one id, null ids and very long texts."""
+    rng = random.Random(8)
+    texts = ["a b", "a b c , d", "", None, "x , y", "w " * 200_000]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["s", "t", None]), rng.choice(["en", None]), rng.choice(texts)) for _ in range(150)]
+    rows = [(k, "s", "en", t) if k == 3 else (k, s, g, t) for k, s, g, t in rows]
+    first = {}
+    for k, _, _, t in rows:
+        if k is not None:
+            first[t or ""] = min(first.get(t or "", k), k)
+    want = {}
+    for k, s, g, t in rows:
+        if k is None or k == first[t or ""]:
+            words = (t or "").split()
+            with_text = [w for w in words if any(c.isalnum() for c in w)]
+            for name, n in (("words-1", len(with_text)), ("runs-2", len(with_text))):
+                docs, tokens = want.get((s, g, name), (0, 0))
+                want[s, g, name] = (docs + 1, tokens + n)
+    rollup = tokencounts.Rollup(spark, store.new_path(spark, "rollup"))
+    df = spark.createDataFrame([(*r, 5, "v") for r in rows], "doc_id long, source string, lang string, text string, n_tokens long, tokenizer string")
+    for name, changes in tokencounts.history(df).items():
+        rollup.commit(name, changes)
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == want
