@@ -122,18 +122,77 @@ def paragraphs(archive: zipfile.ZipFile) -> str:
     return "\n\n".join(x for x in lines if x.strip())
 
 
+def open_document(archive: zipfile.ZipFile) -> str:
+    """Headings and paragraphs of an OpenDocument text."""
+    t = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+    lines = ("".join(e.itertext()) for e in _tree(archive, "content.xml").iter() if e.tag in (f"{t}p", f"{t}h"))
+    return "\n\n".join(x for x in lines if x.strip())
+
+
+_RTF = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
+#: Groups that hold no text of the document.
+_RTF_SKIPPED = set("fonttbl colortbl stylesheet info pict object header footer generator themedata listtable listoverridetable".split())
+_RTF_MARKS = {"par": "\n\n", "line": "\n", "tab": "\t", "page": "\f", "cell": "\t", "row": "\n", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•"}
+
+
+def rich_text(data: bytes) -> str:
+    """Text of an RTF file; Unreadable if it is none or a group stays open."""
+    if not data.startswith(b"{\\rtf"):
+        raise Unreadable("not RTF")
+    out, groups = [], []
+    # of the open group: whether its text is skipped, and how many characters follow a Unicode one in its place
+    skipped, spare, owed = False, 1, 0
+    for word, number, byte, symbol, brace, plain in _RTF.findall(data.decode("latin-1")):
+        if brace == "{":
+            groups.append((skipped, spare))
+        elif brace:
+            if not groups:
+                raise Unreadable("a group closes twice")
+            skipped, spare = groups.pop()
+            owed = 0
+        elif symbol == "*" or word in _RTF_SKIPPED:
+            skipped = True
+        elif word == "uc":
+            spare = int(number or 1)
+        elif skipped:
+            continue
+        elif word == "u" and number:
+            out.append(chr(int(number) % 65536))
+            owed = spare
+        elif byte or symbol in ("\\", "{", "}", "~"):
+            if owed:
+                owed -= 1
+            else:
+                out.append(bytes.fromhex(byte).decode("cp1252", "replace") if byte else symbol.replace("~", " "))
+        elif word:
+            out.append(_RTF_MARKS.get(word, ""))
+        elif plain:
+            out.append(plain[owed:])
+            owed = max(0, owed - len(plain))
+    if groups:
+        raise Unreadable("a group stays open")
+    # two halves of a character beyond the first plane
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+
+
 def office_text(data: bytes, extension: str, most_sections: int = 400, most_bytes: int = MAX_TEXT) -> tuple[str, bool]:
-    """(text, cut) of a pptx, xlsx or docx archive; Unreadable otherwise."""
+    """(text, cut) of a pptx, xlsx, docx, odt or rtf file; Unreadable otherwise."""
+    if extension == "rtf":
+        return _within(rich_text(data), most_bytes)
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             if len(archive.namelist()) > MAX_MEMBERS or any(n.startswith("/") or ".." in n.split("/") for n in archive.namelist()):
                 raise Unreadable("unsafe member names")
-            read = {"pptx": lambda: slides(archive, most_sections), "xlsx": lambda: sheets(archive, most_sections), "docx": lambda: paragraphs(archive)}.get(extension)
+            read = {"pptx": lambda: slides(archive, most_sections), "xlsx": lambda: sheets(archive, most_sections), "docx": lambda: paragraphs(archive), "odt": lambda: open_document(archive)}.get(extension)
             if read is None:
                 raise Unreadable(f"no reader for {extension}")
             text = read()
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, NotImplementedError, RuntimeError, EOFError) as e:
         raise Unreadable(str(e)) from e
+    return _within(text, most_bytes)
+
+
+def _within(text: str, most_bytes: int) -> tuple[str, bool]:
     raw = text.encode()
     return (text, False) if len(raw) <= most_bytes else (raw[:most_bytes].decode("utf-8", "ignore"), True)
 

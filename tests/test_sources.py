@@ -66,3 +66,14 @@ def test_office(spark):
             files.office_text(bad, "pptx")
     rows = spark.createDataFrame([("/a.pptx", bytearray(slides)), ("/b.pptx", bytearray(b"x"))], "path string, content binary")
     assert {r.path: r.extraction for r in files.extracted(rows).collect()} == {"/a.pptx": 1, "/b.pptx": 5}
+
+
+def test_rich_and_open_texts():
+    rtf = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\f0 Caf\'e9 \u8212? and \{braces\}\par next {\b bold} \u-10179?\u-8704?}"
+    assert files.office_text(rtf, "rtf") == ("Café — and {braces}\n\nnext bold 😀", False)
+    t = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    odt = _zip(content_xml=f'<d xmlns:t="{t}"><t:h>Title</t:h><t:p>One <t:span>two</t:span></t:p><t:p> </t:p></d>')
+    assert files.office_text(odt, "odt") == ("Title\n\nOne two", False)
+    for bad in (b"plain", rb"{\rtf1 open", rb"{\rtf1 x}}"):
+        with pytest.raises(files.Unreadable):
+            files.office_text(bad, "rtf")
