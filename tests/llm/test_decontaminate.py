@@ -66,12 +66,14 @@ def test_null_and_repeated_ids_go_by_their_text(spark):
 
 def test_structured_words_are_told_apart(spark):
     """Words that a polynomial hash modulo a power of two takes for one."""
+    docs, items = [], []
     for n in (1024, 2048, 4096):
         a = "".join("ab"[i.bit_count() & 1] for i in range(n))
-        b = a.translate(str.maketrans("ab", "ba"))
-        bench = spark.createDataFrame([(1, a)], "item_id long, text string")
-        got = contamination(spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id long, text string"), bench, bloom_log2=12)
-        assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 1, 2: 0}
+        items.append((n, a))
+        docs += [(n, f"x {a} y"), (n + 1, f"x {a.translate(str.maketrans('ab', 'ba'))} y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, bloom_log2=12)
+    assert {r.doc_id: (r.n_hit, list(r.item_ids)) for r in got.collect()} == {k + d: (1 - d, [str(k)] * (1 - d)) for k in (1024, 2048, 4096) for d in (0, 1)}
 
 
 def test_very_long_texts(spark):

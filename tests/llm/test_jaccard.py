@@ -118,10 +118,12 @@ def test_large_group_without_its_origin(spark):
 
 def test_structured_words_are_told_apart(spark):
     """Words that a polynomial hash modulo a power of two takes for one."""
-    for n in (1024, 2048, 4096):
-        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
-        b = a.translate(str.maketrans("ab", "ba"))
-        assert run(spark, [(1, a), (2, b), (3, a.upper())], k=3, num=90) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+    docs, want = [], {}
+    for i, n in enumerate((1024, 2048, 4096)):
+        a = "".join("ab"[j.bit_count() & 1] for j in range(n))
+        docs += [(10 * i + 1, a), (10 * i + 2, a.translate(str.maketrans("ab", "ba"))), (10 * i + 3, a.upper())]
+        want |= {10 * i + 1: (1, 10 * i + 1), 10 * i + 2: (1, 10 * i + 2), 10 * i + 3: (1, 10 * i + 1)}
+    assert run(spark, docs, k=3, num=90) == want
 
 
 def test_very_long_texts(spark):
