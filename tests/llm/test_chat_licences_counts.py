@@ -146,6 +146,7 @@ REAL = [
     ("Some code, licensed under GPLv3+.", "GPL-3.0-or-later"),
     ("Available under the 3-Clause BSD License.", "BSD-3-Clause"),
     ("We license nothing here. The rights of readers are provided to all.", ""),
+    ("Er kam mit der Lizenz. Mit.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
     ("He was licensed to drive a bus by the town, subject to review.", ""),
 ]
 
