@@ -98,6 +98,31 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
+#: Unsigned CRC-32 of the bytes of x (reflected polynomial 0xEDB88320): eight shifts a byte.
+_SHIFT = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, {x})"
+_BYTES = "list_transform(range(1, 1 + strlen({x})), lambda i: (position(substr(hex(encode({x})), 2 * i - 1, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(hex(encode({x})), 2 * i, 1) IN '0123456789ABCDEF') - 1)"
+
+
+def _crc32(x: str) -> str:
+    return f"xor(list_reduce({_BYTES.format(x=x)}, lambda c, b: {_SHIFT.format(x='xor(c, b::BIGINT)')}, 4294967295::BIGINT), 4294967295)"
+
+
+RESAMPLING = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT unnest({_ITEM_WORDS}) AS x FROM benchmark),
+e AS (SELECT doc_id, unnest(w) AS x FROM d),
+v AS (SELECT x, ({_crc32("x")} % 10000)::INT AS k FROM (SELECT x FROM e UNION SELECT x FROM b)),
+s AS (SELECT k, count(*) AS s FROM e JOIN v USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN v USING (x) GROUP BY k),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS n_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS n_t),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (n_s + 10000.0::DOUBLE) / ((s::DOUBLE + 1) * (n_t + 10000.0::DOUBLE))))::BIGINT AS gain FROM s LEFT JOIN t USING (k), a),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM e JOIN v USING (x) JOIN g USING (k) GROUP BY doc_id),
+h AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_token_counts": TOKEN_COUNTS,
     "op4_quality_rules": QUALITY,
@@ -106,4 +131,5 @@ ORACLES: dict[str, str] = {
     "op8_chat": CHAT,
     "op9_license_scan": LICENCES,
     "op10_decontamination": DECONTAMINATION,
+    "op13_importance_resampling": RESAMPLING,
 }
