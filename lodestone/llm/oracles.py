@@ -123,6 +123,22 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)
 """
 
+TRIE = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+i AS (SELECT c, c::VARCHAR AS x FROM (SELECT DISTINCT conv_id AS c FROM conversations)),
+h AS (SELECT c, c - c % 5 AS base, {_crc32("x")} % 9 AS h FROM i),
+r AS (SELECT c, n, role, text FROM h JOIN t ON t.conv_id = base AND n <= h UNION ALL SELECT c, n, role, text FROM h JOIN t ON t.conv_id = c AND n > h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY n) AS d, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM r),
+p AS (SELECT c, d, string_agg(k, ',') OVER (PARTITION BY c ORDER BY d) AS x, bytes FROM q UNION ALL SELECT c, 0, '', 0 FROM h),
+m AS (SELECT c, d, bytes, min(c) OVER (PARTITION BY d, x) AS node, count(*) OVER (PARTITION BY d, x) AS n, max(d) OVER (PARTITION BY c) AS len FROM p),
+v AS (SELECT node, d, any_value(n) AS n, any_value(bytes) AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len) AS ends FROM m GROUP BY node, d),
+u AS (SELECT v.node, v.d, v.n, v.bytes, v.ends, m.node AS parent FROM v LEFT JOIN m ON m.c = v.node AND m.d = v.d - 1),
+k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (node, d)),
+s AS (SELECT m.node, m.d, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n - 1) * w.bytes)::BIGINT AS saved FROM w JOIN m ON m.c = w.node AND m.d <= w.d GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM w JOIN s USING (node, d)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_token_counts": TOKEN_COUNTS,
     "op4_quality_rules": QUALITY,
@@ -131,5 +147,6 @@ ORACLES: dict[str, str] = {
     "op8_chat": CHAT,
     "op9_license_scan": LICENCES,
     "op10_decontamination": DECONTAMINATION,
+    "op11_prefix_trie": TRIE,
     "op13_importance_resampling": RESAMPLING,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licences, linededup, quality, resampling, store, tokencounts, warc
+from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licences, linededup, quality, resampling, store, tokencounts, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def rebuilt_conversations(table: DataFrame) -> DataFrame:
+    """(conv_id, turns): the first h turns of conversation c - c % 5, then c's own after its first h; h = crc32(c) % 9."""
+    arrays = trie.turn_arrays(table)
+    lead = arrays.select(F.col("conv_id").alias("lead_id"), F.slice("turns", 1, 8).alias("lead"))
+    joined = arrays.join(lead, F.expr("conv_id - conv_id % 5") == F.col("lead_id"), "left").withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int"))
+    return joined.select("conv_id", F.expr("concat(coalesce(slice(lead, 1, h), cast(array() as array<binary>)), slice(turns, h + 1, size(turns)))").alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt_conversations(_table(spark, sf_dir, "conversations")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = resampling.Features(most=1, buckets=10_000)
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), features, percent=10, min_words=20, seed=2024)
@@ -90,5 +102,5 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination, op13_importance_resampling, quality_ablations)
+    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination, op11_prefix_trie, op13_importance_resampling, quality_ablations)
 }
