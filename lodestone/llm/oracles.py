@@ -139,6 +139,13 @@ s AS (SELECT m.node, m.d, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w
 SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM w JOIN s USING (node, d)
 """
 
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_token_counts": TOKEN_COUNTS,
     "op4_quality_rules": QUALITY,
@@ -148,5 +155,6 @@ ORACLES: dict[str, str] = {
     "op9_license_scan": LICENCES,
     "op10_decontamination": DECONTAMINATION,
     "op11_prefix_trie": TRIE,
+    "op12_exact_topk": TOPK,
     "op13_importance_resampling": RESAMPLING,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licences, linededup, quality, resampling, store, tokencounts, trie, warc
+from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licences, linededup, quality, resampling, store, tokencounts, topk, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rebuilt_conversations(_table(spark, sf_dir, "conversations")))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_parts(F.col("embedding"), 256).alias("v"))
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), k=5)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = resampling.Features(most=1, buckets=10_000)
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), features, percent=10, min_words=20, seed=2024)
@@ -102,5 +107,5 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination, op11_prefix_trie, op13_importance_resampling, quality_ablations)
+    for f in (op1_token_counts, op2_ngram_jaccard, op3_line_dedup, op4_quality_rules, op5_bpe, op6_language_id, op7_warc, op8_chat, op9_license_scan, op10_decontamination, op11_prefix_trie, op12_exact_topk, op13_importance_resampling, quality_ablations)
 }
