@@ -5,6 +5,7 @@ Vectors are arrays of doubles of unit length and one size; rows with a null vect
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import scratch
+
+FOUND = "query_id long, id long, distance double"
 #: Bytes of queries sent to all tasks at once.
 BLOCK_BYTES = 32 << 20
 #: Below so many rows in scope the exact scan serves; newer vectors are scanned up to as many.
@@ -68,23 +72,34 @@ def _best(found: DataFrame, most: int) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, most: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, distance, place): the exact best rows(id, v) of each of queries(query_id, q).
 
-    Queries go to all tasks in blocks of bounded bytes, however many there are; each task keeps its best per
-    query, and only those meet.
+    Queries go to all tasks in blocks of bounded bytes; each task keeps its best per query, and only those meet.
+    Several blocks run in turn: each is written and its broadcast released before the next is read.
     """
-    context, plain = rows.sparkSession.sparkContext, rows.where("v is not null").select(F.col("id").cast("long").alias("id"), "v")
-    out = None
-    for block in _blocks(queries, block_bytes):
-        one = plain.mapInArrow(_scan(context.broadcast(block), most), "query_id long, id long, distance double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "query_id long, id long, distance double")
-    return _best(out, most)
+    spark = rows.sparkSession
+    plain = rows.where("v is not null").select(F.col("id").cast("long").alias("id"), "v")
+
+    def scanned(block) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(block)
+        return plain.mapInArrow(_scan(sent, most), FOUND), sent
+
+    blocks = _blocks(queries, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return _best(spark.createDataFrame([], FOUND), most)
+    if second is None:
+        return _best(scanned(first)[0], most)
+    path = scratch.fresh(spark, "nearest")
+    for block in itertools.chain([first, second], blocks):
+        found, sent = scanned(block)
+        _best(found, most).drop("place").write.mode("append").parquet(path)
+        sent.destroy()
+    return _best(spark.read.schema(FOUND).parquet(path), most)
 
 
 def centroids(rows: DataFrame, cells: int, sample: int = 32_768, rounds: int = 10) -> np.ndarray:
     """Unit centres of rows(id, v), fitted by spherical k-means on at most ``sample`` rows, chosen by a hash of the id."""
     picked = rows.where("v is not null").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample)
-    v = np.array([r.v for r in picked.collect()], np.float64)
+    v = matrix(picked.select("v").toArrow().column("v")).astype(np.float32)
     if not len(v):
         return np.zeros((0, 0))
     centre = v[:: max(1, len(v) // cells)][:cells].copy()

@@ -9,6 +9,7 @@ from lodestone.functions import chunking, vectors
 from lodestone.functions.text import STOPWORDS, excerpt, question_terms
 from lodestone.operators import fusion, inventory, lexical
 from lodestone.operators.neighbours import CellIndex, by_document, nearest
+from lodestone.operators.vector_graph import GraphIndex
 from lodestone.plans.registry import query, table
 
 
@@ -158,6 +159,29 @@ def cell_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.agg(F.count("*").alias("queries")).join(recall).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query(
+    f"""WITH {_UNIT}, d AS (SELECT q.vec_id AS query_id, u.vec_id AS id, round(least(2, greatest(0, 1 - list_dot_product(q.v, u.v))), 9) AS distance FROM u q, u WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, round(distance, 6) AS distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d) WHERE place <= 5"""
+)
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph over two builds of shards and newer vectors, with a beam so wide that small tables come out exactly."""
+    asked, rows = _asked(spark, sf_dir)
+    index = GraphIndex.built(rows.where("id % 5 < 2"), most=8192).added(rows.where("id % 5 in (2, 3)"), most=8192)
+    out = index.search(asked, 5, newer=rows.where("id % 5 = 4"), beam=256, width=32)
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
+
+
+@query()
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the graph's ten nearest against the exact ones, and distances computed a query over rows, as figures."""
+    asked, rows = _asked(spark, sf_dir)
+    found, exact = GraphIndex.built(rows).search(asked, 10), nearest(asked, rows, 10)
+    recall = inventory.recall_at(found.withColumnRenamed("place", "position"), exact.withColumnRenamed("place", "position"), 10)
+    touched = found.groupBy("query_id").agg(F.max("touched").alias("touched")).agg(F.avg("touched").alias("touched"))
+    n = rows.agg(F.count("v").alias("rows"))
+    return recall.join(touched).join(n).select("rows", F.round("recall", 4).alias("recall"), F.round("touched", 1).alias("distances_a_query"))
+
+
 @query(
     f"""WITH {_UNIT}, d AS (SELECT q.vec_id AS query_id, u.vec_id // 3 AS document_id, min(round(least(2, greatest(0, 1 - list_dot_product(q.v, u.v))), 9)) AS distance FROM u q, u WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
 SELECT query_id, document_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS place FROM d) WHERE place <= 5"""
