@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunking, vectors
 from lodestone.functions.text import STOPWORDS, excerpt, question_terms
-from lodestone.operators import fusion, inventory, lexical
+from lodestone.operators import fusion, inventory, lexical, lexical_blocks
 from lodestone.operators.neighbours import CellIndex, by_document, nearest
 from lodestone.operators.vector_graph import GraphIndex
 from lodestone.plans.registry import query, table
@@ -29,6 +29,16 @@ def questions(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("text"))
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> lexical_blocks.BlockIndex:
+    """The stored index of all documents; a session builds it once for the same files."""
+    return lexical_blocks.shared(spark, "documents", [f"{sf_dir}/documents.parquet"], lambda path: lexical_blocks.build(documents(spark, sf_dir), "document_id", lexical.DOCUMENT_WEIGHTS, path))
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> lexical_blocks.BlockIndex:
+    """The stored index of the lines of all documents."""
+    return lexical_blocks.shared(spark, "lines", [f"{sf_dir}/documents.parquet"], lambda path: lexical_blocks.build(paragraphs(spark, sf_dir), "id", {"text": 1.0}, path))
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document as passages; id is document * 2^20 + line number."""
     d = documents(spark, sf_dir)
@@ -57,14 +67,25 @@ _STRICT = """need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY ALL)
 strict AS (SELECT query_id, id, -round(sum(score), 9) AS rank FROM hits JOIN terms USING (query_id, term) JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) = need)"""
 
 
-@query(
-    f"""WITH {_QUERIES.format(n=4)}, {_DOCS}, terms AS (SELECT DISTINCT query_id, unnest({tok("text")}) AS term FROM q),
-{_bm25("rows", {"title": 4.0, "body": 1.0}, "terms")}, {_STRICT}
-SELECT query_id, id, round(rank, 6) AS rank, false AS limited, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id DESC) AS place FROM strict) WHERE place <= 100"""
-)
+def _documents_sql(words: int, broad: int) -> str:
+    """Exhaustive ranking of the documents with all terms; queries with a term in more than ``broad`` of them by id."""
+    return f"""WITH {_QUERIES.format(n=words)}, {_DOCS}, terms AS (SELECT DISTINCT query_id, unnest({tok("text")}) AS term FROM q),
+{_bm25("rows", {"title": 4.0, "body": 1.0}, "terms")}, {_STRICT},
+wide AS (SELECT query_id, max(df) > {broad} AS wide FROM terms JOIN df USING (term) GROUP BY query_id),
+r AS (SELECT query_id, id, CASE WHEN wide THEN 0.0 ELSE rank END AS rank, wide AS limited FROM strict JOIN wide USING (query_id))
+SELECT query_id, id, round(rank, 6) AS rank, limited, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id DESC) AS place FROM r) WHERE place <= 100"""
+
+
+@query(_documents_sql(4, lexical.BROAD))
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.word_index(documents(spark, sf_dir), "document_id", lexical.DOCUMENT_WEIGHTS)
-    out = lexical.search_documents(index, questions(spark, sf_dir, 4))
+    out = document_words(spark, sf_dir).search_documents(questions(spark, sf_dir, 4))
+    return out.select("query_id", "id", F.round("rank", 6).alias("rank"), "limited", "place")
+
+
+@query(_documents_sql(2, 150))
+def bm25_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a low bound for common terms: limited queries give the newest documents, the others ranked ones."""
+    out = document_words(spark, sf_dir).search_documents(questions(spark, sf_dir, 2), broad=150)
     return out.select("query_id", "id", F.round("rank", 6).alias("rank"), "limited", "place")
 
 
@@ -88,8 +109,7 @@ lanes AS (SELECT *, row_number() OVER (PARTITION BY query_id, relaxed ORDER BY r
 SELECT query_id, id, round(rank, 6) AS rank, relaxed, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relaxed, rank, id) AS place FROM lanes WHERE k <= 100) WHERE place <= 100"""
 )
 def bm25_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.word_index(paragraphs(spark, sf_dir), "id", {"text": 1.0})
-    out = lexical.search_passages(index, questions(spark, sf_dir, 6))
+    out = line_words(spark, sf_dir).search_passages(questions(spark, sf_dir, 6))
     return out.select("query_id", "id", F.round("rank", 6).alias("rank"), "relaxed", "place")
 
 
@@ -100,11 +120,8 @@ best AS (SELECT s.query_id, s.id, s.rank, r.document_id, row_number() OVER (PART
 SELECT query_id, document_id, id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, document_id) AS place FROM best WHERE n = 1"""
 )
 def best_passage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = paragraphs(spark, sf_dir)
-    index = lexical.word_index(rows, "id", {"text": 1.0})
-    asked = questions(spark, sf_dir, 3)
-    hits = lexical.search_strict(index, asked)
-    out = lexical.best_passage(hits, rows.select("id", "document_id"))
+    hits = line_words(spark, sf_dir).search_strict(questions(spark, sf_dir, 3))
+    out = lexical.best_passage(hits, paragraphs(spark, sf_dir).select("id", "document_id"))
     return out.select("query_id", "document_id", "id", F.round("rank", 6).alias("rank"), "place")
 
 
@@ -244,9 +261,9 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict and relaxed word lanes of every benchmark item fused, two passages a document, no overlap."""
     rows = paragraphs(spark, sf_dir)
-    index = lexical.word_index(rows, "id", {"text": 1.0})
-    words = lexical.search_passages(index, questions(spark, sf_dir, 3)).select("query_id", "id", (F.col("place") - 1).alias("position"))
-    loose = lexical.search_any(index, questions(spark, sf_dir, 8)).select("query_id", "id", (F.col("place") - 1).alias("position"))
+    index = line_words(spark, sf_dir)
+    words = index.search_passages(questions(spark, sf_dir, 3)).select("query_id", "id", (F.col("place") - 1).alias("position"))
+    loose = index.search_any(questions(spark, sf_dir, 8)).select("query_id", "id", (F.col("place") - 1).alias("position"))
     ranked = fusion.fuse_ranks(words, loose)
     out = fusion.select_fused(ranked, rows)
     return out.select("query_id", "document_id", "id", F.round("score", 9).alias("score"), "words", "meaning", "place")
@@ -256,8 +273,7 @@ def fused_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages within the byte budget for every benchmark item as a question."""
     rows = paragraphs(spark, sf_dir)
-    index = lexical.word_index(rows, "id", {"text": 1.0})
-    hits = lexical.search_any(index, questions(spark, sf_dir, 8), 20).join(rows.select("id", "text"), "id")
+    hits = line_words(spark, sf_dir).search_any(questions(spark, sf_dir, 8), 20).join(rows.select("id", "text"), "id")
     return fusion.context(hits)
 
 
@@ -302,8 +318,7 @@ round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 9) AS mrr_10, max(CA
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the word search over every benchmark item: ids that leave the query's rest modulo 7 are expected."""
     asked = questions(spark, sf_dir, 4)
-    index = lexical.word_index(documents(spark, sf_dir), "document_id", lexical.DOCUMENT_WEIGHTS)
-    hits = lexical.search_documents(index, asked).select("query_id", F.col("id").alias("path"), F.col("place").alias("position"), (F.col("id") % 7 == F.col("query_id") % 7).alias("expected"))
+    hits = document_words(spark, sf_dir).search_documents(asked).select("query_id", F.col("id").alias("path"), F.col("place").alias("position"), (F.col("id") % 7 == F.col("query_id") % 7).alias("expected"))
     # hits carry whether they are expected, so ranks come from them alone
     first = hits.where("expected").groupBy("query_id").agg(F.min("position").alias("rank"))
     ranks = asked.join(first, "query_id", "left").select(F.when(F.col("query_id") % 2 == 0, "words").otherwise("meaning").alias("kind"), "rank", (F.col("query_id") * 37 % 101).alias("ms"))
