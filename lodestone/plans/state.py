@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import scratch
 from lodestone.operators import catalog_state as state
 from lodestone.operators import fusion, inventory
+from lodestone.operators.document_store import DocumentStore
 from lodestone.operators.ranking import merged_lanes
 from lodestone.plans.registry import query, table
 from lodestone.sources import listings
+from lodestone.sources.manifest import Conflict, Generations
 
 
 @query("SELECT d.doc_id AS document_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -149,3 +152,64 @@ def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.array(F.lit("the"), F.lit("and"), "lang").alias("terms"))
     return fusion.best_windows(rows, 300)
+
+
+def _customer_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three batches of customers as documents: two thirds of them, every other one, and other identities on a fifth of the paths."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    path, key = F.concat(F.lit("/"), F.col("k").cast("string")), F.col("k").cast("string")
+    row = lambda identity, body: [identity.alias("identity"), path.alias("path"), body.alias("body"), F.octet_length(body).alias("bytes")]
+    louder = F.concat("segment", F.when(F.col("k") % 4 == 0, "!").otherwise(""))
+    return [c.where("k % 3 <> 0").select(row(key, F.col("segment"))), c.where("k % 2 = 0").select(row(key, louder)), c.where("k % 5 = 0").select(row(F.concat(F.lit("new"), key), F.lit("moved")))]
+
+
+_STORED = """c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS i, c_mktsegment AS s FROM customer),
+a AS (SELECT k, i, s, row_number() OVER (ORDER BY i) AS id FROM c WHERE k % 3 <> 0),
+b AS (SELECT k, i, s, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY i) AS id FROM c WHERE k % 2 = 0 AND k % 3 = 0),
+two AS (SELECT k, i, id, CASE WHEN k % 4 = 0 THEN s || '!' ELSE s END AS body, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS revision, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS seen FROM a UNION ALL SELECT k, i, id, CASE WHEN k % 4 = 0 THEN s || '!' ELSE s END, 1, 2 FROM b)"""
+
+
+@query(
+    f"""WITH {_STORED}, three AS (SELECT 'new' || i AS identity, k, (SELECT count(*) FROM two) + row_number() OVER (ORDER BY 'new' || i) AS id FROM c WHERE k % 5 = 0)
+SELECT id AS document_id, i AS identity, '/' || k AS path, body, strlen(body) AS bytes, revision::BIGINT AS revision, seen::BIGINT AS seen FROM two WHERE k % 5 <> 0
+UNION ALL SELECT id, identity, '/' || k, 'moved', 5, 1, 3 FROM three"""
+)
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge-on-read store after three batches and a merge of its folders: ids, revisions and who was displaced."""
+    store = DocumentStore(spark, scratch.fresh(spark, "store"), buckets=8)
+    for n, batch in enumerate(_customer_batches(spark, sf_dir), 1):
+        store.apply(batch, n)
+    store.apply(_customer_batches(spark, sf_dir)[1], 2)  # a retried batch changes nothing
+    store.compact(folders=2)
+    return store.read()
+
+
+@query(f"WITH {_STORED} SELECT id AS document_id, i AS identity, revision::BIGINT AS revision, seen::BIGINT AS seen FROM two WHERE seen = 2 OR k >= 500")
+def store_after_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A complete scan of the paths below /1 to /499, which are moved into a folder, drops what the second batch did not see."""
+    store = DocumentStore(spark, scratch.fresh(spark, "store"), buckets=8)
+    for n, batch in enumerate(_customer_batches(spark, sf_dir)[:2], 1):
+        store.apply(batch.withColumn("path", F.when(F.substring("path", 2, 12).cast("int") < 500, F.concat(F.lit("/low"), "path")).otherwise(F.col("path"))), n)
+    store.finish_scan(2, complete=False)
+    store.finish_scan(2, complete=True, below="/low")
+    return store.read().select("document_id", "identity", "revision", "seen")
+
+
+@query("SELECT 'label-' || label AS shard, count(*) AS n, max(vec_id) AS last FROM embeddings WHERE vec_id > 0 GROUP BY label")
+def published_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by label of the model that is active after another was; a builder that read older vectors is refused."""
+    g = Generations(spark, scratch.fresh(spark, "generations"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").where("id > 0")
+    for model in ("first", "second"):
+        g.begin(model)
+        g.activate(model, 0, 1)
+    # as many shards as labels
+    for r in rows.groupBy("label").agg(F.count("*").alias("count"), F.max("id").alias("last")).collect():
+        of = rows.where(F.col("label") == r.label)
+        g.publish("second", f"label-{r.label}", f"shards/{r.label}", {"count": r["count"], "last": r.last}, of)
+        try:
+            g.publish("second", f"label-{r.label}", "stale", {"count": r["count"] - 1, "last": r.last}, of)
+        except Conflict:
+            continue
+    g.retire()
+    return spark.createDataFrame([(name, s["count"], s["last"]) for name, s in g.shards().items()], "shard string, n long, last long")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -69,25 +71,37 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Seconds after which a claim whose writer never finished is void.
+VOID_AFTER = 600
+
+
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small file whole under a name that nobody has; False if the name is taken.
+    """Write a small file whole under a name that nobody has; False if another writer has or claims the name.
 
-    The text is complete before the name exists: it is written aside and renamed, and a rename onto a name that
-    exists fails in HDFS; the local file system and object stores need the check as well.
+    Exclusive creation of a claim decides between writers, and the text is complete before the name exists. It needs a
+    file system that creates exclusively, as HDFS and local disks do.
     """
     at, fs = _fs(spark, path)
+    claim, aside = _fs(spark, f"{path}.claim")[0], _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")[0]
     if fs.exists(at):
         return False
-    aside, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > VOID_AFTER:
+        fs.delete(claim, False)
     out = fs.create(aside, False)
     try:
         out.write(text.encode())
     finally:
         out.close()
     try:
-        # exclusive creation decides between two writers where a rename would overwrite
-        fs.create(_fs(spark, f"{path}.lock")[0], False).close()
-    except Exception:  # noqa: BLE001  the name is another writer's
+        fs.create(claim, False).close()
+    except Py4JJavaError as e:
         fs.delete(aside, False)
-        return False
-    return bool(fs.rename(aside, at))
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    # the name may have been taken, and its claim removed, since the first look
+    won = not fs.exists(at) and bool(fs.rename(aside, at))
+    fs.delete(claim, False)
+    if not won:
+        fs.delete(aside, False)
+    return won
