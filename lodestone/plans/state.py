@@ -9,10 +9,12 @@ from lodestone import scratch
 from lodestone.operators import catalog_state as state
 from lodestone.operators import fusion, inventory
 from lodestone.operators.document_store import DocumentStore
+from lodestone.operators.embedding_pass import EmbeddingPass
 from lodestone.operators.ranking import merged_lanes
 from lodestone.plans.registry import query, table
 from lodestone.sources import listings
 from lodestone.sources.manifest import Conflict, Generations
+from lodestone.streaming import queues as bounded
 
 
 @query("SELECT d.doc_id AS document_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -213,3 +215,60 @@ def published_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
             continue
     g.retire()
     return spark.createDataFrame([(name, s["count"], s["last"]) for name, s in g.shards().items()], "shard string, n long, last long")
+
+
+@query(
+    """WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT id, contains(t, 'icen') AS unreadable, (length(t) - length(replace(t, 'a', '')))::DOUBLE AS a, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS e FROM t),
+f AS (SELECT *, NOT unreadable AND a + e > 0 AS good FROM c)
+SELECT id, good AS embedded, CASE WHEN good THEN round((a / sqrt(a * a + e * e))::FLOAT::DOUBLE, 4) END AS first, CASE WHEN good THEN round((e / sqrt(a * a + e * e))::FLOAT::DOUBLE, 4) END AS second FROM f"""
+)
+def embedding_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass over all documents in eight pages, stopped after three and taken up again; the model counts two letters and can't read some texts."""
+
+    def model(texts: list[str]) -> list[list[float]]:
+        if any("icen" in t for t in texts):
+            raise ValueError("unreadable")
+        return [[float(t.count("a")), float(t.count("e"))] for t in texts]
+
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("revision"), "text")
+    page = -(-rows.count() // 8)
+    path = scratch.fresh(spark, "embeddings")
+    EmbeddingPass(spark, path, "letters", 2, page).run(rows, model, budget=3)
+    again = EmbeddingPass(spark, path, "letters", 2, page)
+    again.run(rows, model)
+    v = again.vectors()
+    return v.select("id", F.col("error").isNull().alias("embedded"), *[F.round(F.col("vector")[i].cast("double"), 4).alias(n) for i, n in enumerate(("first", "second"))])
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS root, epoch_ms(ts) // 1000 AS t, user_id::VARCHAR AS path, event_id % 97 = 0 AS dropped FROM events),
+f AS (SELECT root, min(t) AS start, min(t) + 2000 AS due FROM e GROUP BY root
+  UNION ALL SELECT n.root, n.start, n.start + greatest(2000, 10000 - (n.start - n.flushed)) FROM (SELECT f.root, min(e.t) AS start, f.due AS flushed FROM f JOIN e ON e.root = f.root AND e.t >= f.due GROUP BY f.root, f.due) n)
+SELECT f.root, f.due AS "at", bool_or(dropped) OR count(DISTINCT path) > 5 AS "full", CASE WHEN bool_or(dropped) OR count(DISTINCT path) > 5 THEN '' ELSE string_agg(DISTINCT path, ',' ORDER BY path) END AS paths
+FROM f JOIN e ON e.root = f.root AND e.t >= f.start AND e.t < f.due GROUP BY f.root, f.due"""
+)
+def file_event_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events replayed as changes below their type, a thousand times as fast: which paths each flush names, or a full scan above five."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("root"), F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1_000_000).cast("long").alias("at"), F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 97 == 0).alias("dropped"))
+    return bounded.file_event_flushes(e, 5).select("root", "at", "full", F.array_join("paths", ",").alias("paths"))
+
+
+_QUEUE = """WITH e AS (SELECT {key} AS key, {at} AS t, {size} AS size, {item} AS item FROM {table} WHERE {size} <= {largest}),
+n AS (SELECT *, row_number() OVER w AS back, sum(size) OVER w AS bytes FROM e WINDOW w AS (PARTITION BY key ORDER BY t DESC, size DESC, item DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT * FROM n WHERE back <= {count} AND bytes <= {most})
+SELECT key, (row_number() OVER (PARTITION BY key ORDER BY back DESC))::INT AS place, t AS "at", size, item FROM k"""
+
+
+@query(_QUEUE.format(key="lang", at="doc_id", size="strlen(coalesce(text, ''))", item="doc_id::VARCHAR", table="(SELECT * FROM documents WHERE lang IS NOT NULL)", largest=20000, count=16, most=60000))
+def clip_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as clips in a queue of each language: 16 clips and 60 000 bytes at most, clips above 20 000 refused."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("key"), F.col("doc_id").alias("at"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.col("doc_id").cast("string").alias("item"))
+    return bounded.queues(d, 16, 60_000, 20_000)
+
+
+@query(_QUEUE.format(key="event_type", at="event_id", size="1", item="user_id::VARCHAR", table="events", largest=1, count=200, most=200))
+def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 events of each type."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("at"), F.lit(1).alias("size"), F.col("user_id").cast("string").alias("item"))
+    return bounded.queues(e, bounded.EVENTS, bounded.EVENTS, 1)
