@@ -1,10 +1,11 @@
 """Plans of small operators: path rules, converters, launcher lists, catalog upkeep, index upkeep.
 
-Each runs over a whole table of the driver, or over a few stated rows where the tables have nothing of the kind.
+Each runs over a whole table of the driver; where the tables have nothing of the kind, its texts are made of their columns.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,19 +80,27 @@ def chunk_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", chunking.kind_of(F.col("path"), F.col("extraction") == 1).alias("kind"))
 
 
-_TYPED = ["kind:pdf plan", "size:>=2KB x", "size:<1.5MiB", "modified:today a b", "used:>180d", '"kind:pdf" plain', "week modified:week", "kind:code size:=10 q", "no filter"]
+_SAID = """CASE p_partkey % 6 WHEN 0 THEN 'kind:PDF ' || p_name WHEN 1 THEN 'size:>=' || p_size || 'KB ' || p_name WHEN 2 THEN p_name || ' modified:' || p_size || 'd'
+WHEN 3 THEN '"kind:pdf" ' || p_name WHEN 4 THEN 'used:>' || p_size || 'd size:<' || p_size || '.5MiB ' || p_name ELSE 'modified:week size:' || p_size || ' other:x' END"""
 
 
 @query(
-    f"""WITH t AS ({stated("q", ", ".join(f"('{q}')" for q in _TYPED))})
-SELECT q, nullif(regexp_extract(q, '^([^"].*|)kind:([a-z]+)', 2), '') AS kind,
-CASE WHEN q LIKE '%size:%' THEN (regexp_extract(q, 'size:[<>=]*([0-9.]+)', 1)::DOUBLE * CASE WHEN q LIKE '%KB%' THEN 1000 WHEN q LIKE '%MiB%' THEN 1048576 ELSE 1 END)::BIGINT END AS bytes,
-trim(regexp_replace(regexp_replace(q, '(^|[ ])(kind|size|modified|used):[^ "]+', '', 'g'), '"', '', 'g')) AS name FROM t"""
+    f"""SELECT p_partkey, {_SAID} AS said, CASE WHEN p_partkey % 6 = 0 THEN 'pdf' END AS kind,
+CASE p_partkey % 6 WHEN 1 THEN '>=' WHEN 4 THEN '<' WHEN 5 THEN '=' END AS sign, CASE p_partkey % 6 WHEN 1 THEN p_size * 1000 WHEN 4 THEN p_size * 1048576 + 524288 WHEN 5 THEN p_size END::BIGINT AS bytes,
+CASE p_partkey % 6 WHEN 2 THEN 'modified within ' || p_size WHEN 4 THEN 'used older ' || p_size WHEN 5 THEN 'modified within 7' END AS age,
+CASE p_partkey % 6 WHEN 3 THEN 'kind:pdf ' || p_name WHEN 5 THEN 'other:x' ELSE p_name END AS name FROM part"""
 )
 def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed queries taken apart."""
-    found = [(q, filters.parse(q)) for q in _TYPED]
-    return spark.createDataFrame([(q, p.kind, p.size.bytes if p.size else None, p.name) for q, p in found], "q string, kind string, bytes long, name string")
+    """Queries typed about parts, taken apart."""
+
+    def run(frames):
+        for f in frames:
+            got = [filters.parse(q) for q in f["said"]]
+            age = lambda p: next((f"{n} {a.kind} {a.days}" for n, a in (("modified", p.modified), ("used", p.used)) if a), None)
+            yield f.assign(kind=[p.kind for p in got], sign=[p.size and p.size.comparison for p in got], bytes=pd.array([p.size.bytes if p.size else None for p in got], "Int64"), age=[age(p) for p in got], name=[p.name for p in got])
+
+    said = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SAID).alias("said"))
+    return said.mapInPandas(run, "p_partkey long, said string, kind string, sign string, bytes long, age string, name string")
 
 
 # --- text -------------------------------------------------------------------------------------------
@@ -127,15 +136,15 @@ def link_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(n.alias("id"), text.valid_keyword(keyword).alias("keyword"), text.valid_link(link).alias("link"))
 
 
-_ASKED = "(1, 'what is on my calendar today'), (2, 'schedule a meeting tomorrow'), (3, 'meeting notes from today'), (4, 'any appointments left this week'), (5, 'next meetings'), (6, 'agenda'), (7, 'hello there')"
+_ASKED = """CASE o_orderkey % 4 WHEN 0 THEN 'Any meeting' WHEN 1 THEN 'any meeting notes' WHEN 2 THEN '>agenda' ELSE 'an invoice' END || CASE o_custkey % 3 WHEN 0 THEN ' today?' WHEN 1 THEN ' next week' ELSE '' END"""
 
 
-@query(f"WITH t AS ({stated('id, q', _ASKED)}) SELECT id, id IN (1, 4, 5) AS calendar, CASE WHEN id = 7 THEN false ELSE q LIKE '%meet%' END AS private FROM t")
+@query(f"SELECT o_orderkey, {_ASKED} AS said, o_orderkey % 4 = 0 OR (o_orderkey % 4 = 2 AND o_custkey % 3 <> 2) AS calendar, o_orderpriority IN ('1-URGENT', '5-LOW') OR o_orderstatus = 'P' AS private FROM orders")
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions about the calendar; clips that carry a marker."""
-    t = spark.sql(stated("id, q", _ASKED))
-    marks = F.split(F.regexp_replace("q", "meetings?", "marked"), " ")
-    return t.select("id", text.asks_about_calendar(F.col("q")).alias("calendar"), text.is_private_clip(marks, ["marked"]).alias("private"))
+    """Questions about the calendar; clips whose types hold a marker."""
+    t = table(spark, sf_dir, "orders").withColumn("said", F.expr(_ASKED))
+    marks = F.array("o_orderpriority", "o_orderstatus")
+    return t.select("o_orderkey", "said", text.asks_about_calendar(F.col("said")).alias("calendar"), text.is_private_clip(marks, ["1-URGENT", "5-LOW", "P"]).alias("private"))
 
 
 @query(r"SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(head, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS sentences FROM (SELECT doc_id, trim(substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 120)) AS head FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))")
@@ -184,21 +193,38 @@ def byte_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", convert.byte_count(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
 
 
-_CLOCKS = "('3pm'), ('12am'), ('15h30'), ('15:05'), ('noon'), ('midnight'), ('13pm'), ('7'), ('24:00'), ('9:61'), ('11 PM')"
+_HOUR = "(user_id % 30)"
+_CLOCK = f"""CASE event_id % 5 WHEN 0 THEN {_HOUR} || ':' || lpad(CAST(event_id % 70 AS STRING), 2, '0') WHEN 1 THEN {_HOUR} || CASE WHEN event_id % 2 = 0 THEN ' PM' ELSE 'am' END
+WHEN 2 THEN {_HOUR} || 'h' || lpad(CAST(event_id % 60 AS STRING), 2, '0') WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'Noon' ELSE ' midnight ' END ELSE CAST({_HOUR} AS STRING) END"""
 
 
-@query(f"WITH t AS ({stated('said', _CLOCKS)}) SELECT said, CASE said WHEN '3pm' THEN 900 WHEN '12am' THEN 0 WHEN '15h30' THEN 930 WHEN '15:05' THEN 905 WHEN 'noon' THEN 720 WHEN 'midnight' THEN 0 WHEN '11 PM' THEN 1380 END AS minute FROM t")
+@query(
+    f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN {_HOUR} < 24 AND event_id % 70 < 60 THEN {_HOUR} * 60 + event_id % 70 END
+WHEN 1 THEN CASE WHEN {_HOUR} BETWEEN 1 AND 12 THEN {_HOUR} % 12 * 60 + CASE WHEN event_id % 2 = 0 THEN 720 ELSE 0 END END
+WHEN 2 THEN CASE WHEN {_HOUR} < 24 THEN {_HOUR} * 60 + event_id % 60 END WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 720 ELSE 0 END END::INT AS minute FROM events"""
+)
 def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of day as minutes."""
-    said = [r.said for r in spark.sql(stated("said", _CLOCKS)).collect()]
-    read = [(s, convert.clock(s)) for s in said]
-    return spark.createDataFrame([(s, t[0] * 60 + t[1] if t else None) for s, t in read], "said string, minute int")
+    """Times of day, written in five ways, as minutes."""
+
+    def run(frames):
+        for f in frames:
+            read = [convert.clock(s) for s in f["said"]]
+            yield f[["event_id"]].assign(minute=pd.array([t and t[0] * 60 + t[1] for t in read], "Int32"))
+
+    return table(spark, sf_dir, "events").select("event_id", F.expr(_CLOCK).alias("said")).mapInPandas(run, "event_id long, minute int")
 
 
-@query("SELECT n::INT AS attempt, least(900.0, 30.0 * pow(2, least(n, 5)))::DOUBLE AS retry, greatest(2.0, 10.0 - n)::DOUBLE AS flush, n * 20 > 128 OR n = 3 AS whole FROM range(0, 12) AS t(n)")
+@query("SELECT event_id, least(900.0, 30.0 * pow(2, least(user_id % 9, 5)))::DOUBLE AS retry, greatest(2.0, 10.0 - event_id % 12)::DOUBLE AS flush, user_id % 200 > 128 OR event_id % 97 = 0 AS whole FROM events")
 def delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backoff of a failed pass, delay of collected events, and whether a full scan is due."""
-    return spark.createDataFrame([(n, retry_delay(n), flush_delay(n), needs_full_scan(n * 20, n == 3)) for n in range(12)], "attempt int, retry double, flush double, whole boolean")
+    """Backoff of a failed pass, delay of collected events, and whether a full scan is due, with numbers of the events."""
+
+    def run(frames):
+        for f in frames:
+            rows = list(zip(f["attempt"], f["since"], f["paths"], f["dropped"]))
+            yield f[["event_id"]].assign(retry=[retry_delay(a) for a, *_ in rows], flush=[flush_delay(s) for _, s, *_ in rows], whole=[bool(needs_full_scan(p, d)) for *_, p, d in rows])
+
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 9 AS attempt", "event_id % 12 AS since", "user_id % 200 AS paths", "event_id % 97 = 0 AS dropped")
+    return e.mapInPandas(run, "event_id long, retry double, flush double, whole boolean")
 
 
 # --- launcher lists ---------------------------------------------------------------------------------
@@ -241,13 +267,19 @@ def command_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.selectExpr("id", "row_number() over (order by at desc nulls last, offset) as place").select("id", F.col("place").cast("long").alias("place"))
 
 
-_EVENTS = f"(1, {NOW} - 7200, {NOW} + 60, false, 'running'), (2, {NOW} - 7200, {NOW} - 60, false, 'over'), (3, {NOW}, {NOW} + 86400, true, 'day'), (4, {NOW} + 90000, {NOW} + 93600, false, 'tomorrow'), (5, {NOW} + 180000, {NOW} + 190000, false, 'later'), (6, {NOW} + 3600, {NOW} + 7200, false, 'soon')"
+_TODAY = 1_705_276_800  # midnight of a day in the middle of the events
 
 
-@query(f"WITH t AS ({stated('id, s, e, all_day, title', _EVENTS)}) SELECT id, id IN (1, 3, 4) AS header FROM t WHERE id IN (1, 3, 4, 6)")
+@query(
+    f"""WITH e AS (SELECT event_id AS id, epoch_ms(ts) // 1000 AS s, epoch_ms(ts) // 1000 + user_id * 60 AS e, event_id % 50 = 0 AS d, event_type || ' ' || event_id AS t FROM events),
+l AS (SELECT * FROM e WHERE s < {_TODAY} + 172800 AND e > {_TODAY} AND e > {_TODAY} + 36000 ORDER BY s, d, t LIMIT 24)
+SELECT id, (s - {_TODAY} < 0) IS DISTINCT FROM lag(s - {_TODAY} < 0) OVER w OR floor((s - {_TODAY}) / 86400.0) IS DISTINCT FROM lag(floor((s - {_TODAY}) / 86400.0)) OVER w AS header FROM l WINDOW w AS (ORDER BY s, d, t)"""
+)
 def agenda_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.sql(stated("id, s, e, all_day, title", _EVENTS)).withColumnsRenamed({"s": "start", "e": "end"})
-    return listings.agenda(e, NOW, NOW).select("id", "header")
+    """Events as meetings of a length by their user, seen at ten in the morning."""
+    start = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1_000_000)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), start.alias("start"), (start + F.col("user_id") * 60).alias("end"), (F.col("event_id") % 50 == 0).alias("all_day"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"))
+    return listings.agenda(e, _TODAY + 36000, _TODAY).select("id", "header")
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://us02.zoom.us/j/' || page_id WHEN 1 THEN 'https://meet.google.com/' || page_id END AS link FROM pages")
@@ -270,12 +302,14 @@ def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.recent_files(d, NOW, F.startswith("path", F.lit("/src2/"))).select("document_id")
 
 
-_BUNDLES = "('/a/One.app', 'Display', 'Bundle', false), ('/a/Two.app', '', 'Bundle', false), ('/a/Three.app/', '', '', false), ('/a/Agent.app', 'x', 'y', true), ('/a/file.txt', 'x', 'y', false)"
+_BUNDLE = """SELECT '/a/' || s_name || CASE WHEN s_suppkey % 5 = 0 THEN '.txt' WHEN s_suppkey % 3 = 0 THEN '.app/' ELSE '.app' END AS path, CASE WHEN s_suppkey % 4 > 0 THEN 'Shown ' || s_suppkey ELSE '' END AS display,
+CASE WHEN s_suppkey % 8 > 0 THEN 'Bundle ' || s_suppkey ELSE '' END AS bundle_name, CASE WHEN s_suppkey % 7 > 1 THEN false WHEN s_suppkey % 7 = 0 THEN true END AS agent FROM"""
 
 
-@query(f"WITH t AS ({stated('path, display, bundle_name, agent', _BUNDLES)}) SELECT path, coalesce(nullif(display, ''), nullif(bundle_name, ''), regexp_extract(path, '([^/]+)[.]app', 1)) AS name FROM t WHERE NOT agent AND path LIKE '%.app%'")
+@query(f"WITH t AS ({_BUNDLE} supplier) SELECT path, coalesce(nullif(display, ''), nullif(bundle_name, ''), regexp_extract(path, '([^/]+)[.]app', 1)) AS name FROM t WHERE agent IS NOT TRUE AND path LIKE '%.app%'")
 def app_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.apps(spark.sql(stated("path, display, bundle_name, agent", _BUNDLES)))
+    """Suppliers as bundles: some agents, some files of another kind, some without one name or both."""
+    return listings.apps(spark.sql(f"{_BUNDLE} {{t}}", t=table(spark, sf_dir, "supplier")))
 
 
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS name, (c_custkey % 100)::DOUBLE AS cpu, c_custkey * 1024.0::DOUBLE AS memory, 2e9::DOUBLE AS lim FROM customer WHERE c_custkey % 10 <> 3")
@@ -376,10 +410,18 @@ def shard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.shard_rows(v, shards, 64).select("id", "after_key")
 
 
-@query("WITH m AS (SELECT 'lexical' AS lane, 'all' AS kind, 0.6 AS hit_5 UNION ALL SELECT 'lexical', 'words', 0.8 UNION ALL SELECT 'lexical', 'meaning', 0.3 UNION ALL SELECT 'fused', 'all', 0.7 UNION ALL SELECT 'fused', 'words', 0.8 UNION ALL SELECT 'fused', 'meaning', 0.5) SELECT bool_and(f.hit_5 >= l.hit_5 AND (f.kind <> 'meaning' OR f.hit_5 > l.hit_5)) AS passes FROM m f JOIN m l ON f.kind = l.kind AND f.lane = 'fused' AND l.lane = 'lexical'")
+_LANES = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'lexical' ELSE 'fused' END AS lane, CASE WHEN o_custkey % 2 = 0 THEN 'words' ELSE 'meaning' END AS kind, CASE WHEN o_orderkey % 10 < 6 + o_orderkey % 2 * (1 + o_custkey % 2) THEN 1.0 ELSE 0.0 END AS hit FROM"""
+
+
+@query(
+    f"""WITH r AS ({_LANES} orders), m AS (SELECT lane, kind, round(avg(hit), 9) AS hit_5 FROM r GROUP BY ALL UNION ALL SELECT lane, 'all', round(avg(hit), 9) FROM r GROUP BY ALL)
+SELECT bool_and(f.hit_5 >= l.hit_5 AND (f.kind <> 'meaning' OR f.hit_5 > l.hit_5)) AS passes, count(*) AS kinds FROM m f JOIN m l ON f.kind = l.kind AND f.lane = 'fused' AND l.lane = 'lexical'"""
+)
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = "('lexical', 'all', 0.6), ('lexical', 'words', 0.8), ('lexical', 'meaning', 0.3), ('fused', 'all', 0.7), ('fused', 'words', 0.8), ('fused', 'meaning', 0.5)"
-    return inventory.passes_gate(spark.sql(stated("lane, kind, hit_5", rows)))
+    """Orders as hits of two lanes, measured by kind and in all, then put to the gate."""
+    r = spark.sql(f"{_LANES} {{t}}", t=table(spark, sf_dir, "orders"))
+    m = r.unionByName(r.withColumn("kind", F.lit("all"))).groupBy("lane", "kind").agg(F.round(F.avg("hit"), 9).alias("hit_5"))
+    return inventory.passes_gate(m).join(m.agg(F.countDistinct("kind").alias("kinds")))
 
 
 @query(

@@ -278,14 +278,16 @@ def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FUSED}, j AS (SELECT query_id, id, a.p AS r, b.p AS s FROM a FULL JOIN b USING (query_id, id) WHERE coalesce(a.p, 0) < 20 OR a.p IS NULL),
-x AS (SELECT query_id, id, r IS NOT NULL AND r < 20 AS words, true AS meaning, coalesce(2.0 / (61 + r), 0) + coalesce(1.0 / (61 + s), 0) AS score FROM j)
-SELECT query_id, id, words, meaning, round(score, 9) AS score FROM x WHERE words"""
+    f"""WITH {_FUSED}, j AS (SELECT query_id, id, x.p AS r, b.p AS s FROM (SELECT * FROM a WHERE p < 20) x FULL JOIN b USING (query_id, id)),
+x AS (SELECT query_id, id, r IS NOT NULL AS words, s IS NOT NULL AS meaning, coalesce(2.0 / (61 + r), 0) + coalesce(1.0 / (61 + s), 0) AS score FROM j),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, words ORDER BY score DESC, id) AS n FROM x)
+SELECT query_id, id, words, meaning, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, score DESC, id) AS place FROM k WHERE words OR n <= 8"""
 )
 def document_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lanes: twenty results by words, then at most eight by meaning alone."""
     a, b = _lists(spark, sf_dir)
     out = fusion.fuse_documents(a.where("position < 20"), b)
-    return out.where("words").select("query_id", "id", "words", "meaning", F.round("score", 9).alias("score"))
+    return out.select("query_id", "id", "words", "meaning", F.round("score", 9).alias("score"), "place")
 
 
 @query(

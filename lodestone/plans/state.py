@@ -126,6 +126,16 @@ def bag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.where("l_discount < 0.05").select(columns).exceptAll(li.where("l_quantity < 25").select(columns))
 
 
+@query("SELECT count(*) AS n, true AS shuffled, false AS shorter FROM lineitem WHERE l_discount < 0.05")
+def bag_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a table equals itself in another order and column order, and itself without one of its rows."""
+    li = table(spark, sf_dir, "lineitem").where("l_discount < 0.05").select("l_partkey", "l_suppkey", "l_quantity")
+    other = li.repartition(7).select("l_quantity", "l_partkey", "l_suppkey")
+    some = li.limit(1)
+    shuffled, shorter = inventory.same_rows(li, other), inventory.same_rows(li, li.exceptAll(some))
+    return li.agg(F.count("*").alias("n")).select("n", F.lit(shuffled).alias("shuffled"), F.lit(shorter).alias("shorter"))
+
+
 @query("SELECT user_id AS pid, 'cmd' || user_id AS command, CASE WHEN user_id % 2 = 0 THEN 'UDP' ELSE 'TCP' END AS protocol, '127.0.0.1:' || event_id AS address FROM events WHERE user_id > 0")
 def socket_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as tagged lines, one dump a user, and parsed back."""
