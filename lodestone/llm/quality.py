@@ -11,6 +11,7 @@ text are ignored, but the ledger's own columns replace others of their names (``
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,23 +34,32 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     )
     out = out.withColumn("_g", F.when(F.col("n_words") >= 3, _grams("_w")))
-    # only texts in which some window comes twice pay for the places of their windows
+    # only texts in which some hash comes twice pay for their windows' words, which decide
     twice = F.size(F.array_distinct("_g")) < F.size("_g")
-    out = out.withColumn("_p", F.when(twice, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn("_p", F.when(twice, F.sort_array(F.transform(_windows("_w"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     out = out.withColumn("_r", F.when(F.col("_p").isNotNull(), _repeats("_p")))
     return out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_r").isNotNull(), _covered("_r")), zero)).drop("_t", "_w", "_l", "_g", "_p", "_r")
 
 
-def _grams(words: str) -> Column:
-    """Hash of the 3 words from each position on; the last two positions have none."""
+def _triples(words: str, of: Callable[[Column], Column]) -> Column:
+    """``of`` the 3 words from each position on; the last two positions have none."""
     a, b, c = F.col(words).alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c")
-    return F.slice(F.transform(F.arrays_zip(a, b, c), lambda x: F.xxhash64(x)), F.lit(1), F.size(words) - 2)
+    return F.slice(F.transform(F.arrays_zip(a, b, c), of), F.lit(1), F.size(words) - 2)
+
+
+def _grams(words: str) -> Column:
+    return _triples(words, lambda x: F.xxhash64(x))
+
+
+def _windows(words: str) -> Column:
+    """The windows as texts; words hold no blank, so one blank between them keeps different windows apart."""
+    return _triples(words, lambda x: F.concat_ws(" ", x.a, x.b, x.c))
 
 
 def _repeats(placed: str) -> Column:
-    """Ascending places of windows that come twice or more: equal neighbours in the order of (hash, place)."""
+    """Ascending places of windows that come twice or more: equal neighbours in the order of (window, place)."""
     after = F.slice(placed, F.lit(2), F.size(placed)).alias("y")
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.col(placed)).alias("z")
+    before = F.concat(F.array(F.lit(None).cast("struct<h:string,i:int>")), F.col(placed)).alias("z")
     same = F.filter(F.arrays_zip(F.col(placed).alias("x"), after, before), lambda p: p.x.h.isNotNull() & (p.x.h.eqNullSafe(p.y.h) | p.x.h.eqNullSafe(p.z.h)))
     return F.sort_array(F.transform(same, lambda p: p.x.i))
 

@@ -44,3 +44,11 @@ def test_ablations(spark):
 
 def test_empty_table(spark):
     assert quality.verdicts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_with_one_hash_are_told_apart(spark):
+    unlike = " ".join(f"u{i}x{i * i}" for i in range(60))
+    text = f"aaaaaaaa bbbbbbbb cccccccc {unlike} aaaaaaaa hhwpspbu dN}}h6#4^"
+    rows = spark.createDataFrame([(1, text), (2, f"{text} aaaaaaaa bbbbbbbb cccccccc"), (3, "w " * 60_000), (3, "w " * 60_000)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_repeat_words) for r in quality.measured(rows).select("doc_id", "n_repeat_words").collect())
+    assert got == [(1, 0), (2, 6), (3, 60_000), (3, 60_000)]
