@@ -13,7 +13,7 @@ from lodestone.functions import chunking, convert, text, vectors
 from lodestone.operators import catalog_state as state
 from lodestone.operators import filters, inventory, lexical, ranking
 from lodestone.plans.ranking import _PATHS, NOW, paths
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import epoch, query, table
 from lodestone.sources import files, listings
 from lodestone.streaming.state import flush_delay, needs_full_scan, retry_delay
 
@@ -271,13 +271,13 @@ _TODAY = 1_705_276_800  # midnight of a day in the middle of the events
 
 
 @query(
-    f"""WITH e AS (SELECT event_id AS id, epoch_ms(ts) // 1000 AS s, epoch_ms(ts) // 1000 + user_id * 60 AS e, event_id % 50 = 0 AS d, event_type || ' ' || event_id AS t FROM events),
+    f"""WITH e AS (SELECT event_id AS id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + user_id * 60 AS e, event_id % 50 = 0 AS d, event_type || ' ' || event_id AS t FROM events),
 l AS (SELECT * FROM e WHERE s < {_TODAY} + 172800 AND e > {_TODAY} AND e > {_TODAY} + 36000 ORDER BY s, d, t LIMIT 24)
 SELECT id, (s - {_TODAY} < 0) IS DISTINCT FROM lag(s - {_TODAY} < 0) OVER w OR floor((s - {_TODAY}) / 86400.0) IS DISTINCT FROM lag(floor((s - {_TODAY}) / 86400.0)) OVER w AS header FROM l WINDOW w AS (ORDER BY s, d, t)"""
 )
 def agenda_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as meetings of a length by their user, seen at ten in the morning."""
-    start = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1_000_000)
+    start = epoch()
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), start.alias("start"), (start + F.col("user_id") * 60).alias("end"), (F.col("event_id") % 50 == 0).alias("all_day"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"))
     return listings.agenda(e, _TODAY + 36000, _TODAY).select("id", "header")
 

@@ -11,7 +11,7 @@ from lodestone.operators import fusion, inventory
 from lodestone.operators.document_store import DocumentStore
 from lodestone.operators.embedding_pass import EmbeddingPass
 from lodestone.operators.ranking import merged_lanes
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import epoch, query, table
 from lodestone.sources import listings
 from lodestone.sources.manifest import Conflict, Generations
 from lodestone.streaming import queues as bounded
@@ -252,7 +252,7 @@ def embedding_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_type AS root, epoch_ms(ts) // 1000 AS t, user_id::VARCHAR AS path, event_id % 97 = 0 AS dropped FROM events),
+    """WITH RECURSIVE e AS (SELECT event_type AS root, epoch_us(ts) // 1000000 AS t, user_id::VARCHAR AS path, event_id % 97 = 0 AS dropped FROM events),
 f AS (SELECT root, min(t) AS start, min(t) + 2000 AS due FROM e GROUP BY root
   UNION ALL SELECT n.root, n.start, n.start + greatest(2000, 10000 - (n.start - n.flushed)) FROM (SELECT f.root, min(e.t) AS start, f.due AS flushed FROM f JOIN e ON e.root = f.root AND e.t >= f.due GROUP BY f.root, f.due) n)
 SELECT f.root, f.due AS "at", bool_or(dropped) OR count(DISTINCT path) > 5 AS "full", CASE WHEN bool_or(dropped) OR count(DISTINCT path) > 5 THEN '' ELSE string_agg(DISTINCT path, ',' ORDER BY path) END AS paths
@@ -260,7 +260,7 @@ FROM f JOIN e ON e.root = f.root AND e.t >= f.start AND e.t < f.due GROUP BY f.r
 )
 def file_event_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events replayed as changes below their type, a thousand times as fast: which paths each flush names, or a full scan above five."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("root"), F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1_000_000).cast("long").alias("at"), F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 97 == 0).alias("dropped"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("root"), epoch().alias("at"), F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 97 == 0).alias("dropped"))
     return bounded.file_event_flushes(e, 5).select("root", "at", "full", F.array_join("paths", ",").alias("paths"))
 
 
