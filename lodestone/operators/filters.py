@@ -201,7 +201,7 @@ def under(path: Column, folder: str) -> Column:
 def scope_predicate(path: Column, roots: list[str], exclusions: list[str] = ()) -> Column:
     """Under any root and under no exclusion; no roots match nothing."""
     if len(roots) > MAX_ROOTS or len(exclusions) > MAX_EXCLUSIONS:
-        raise FilterError("Too many search folders")
+        raise FilterError(f"a scope takes {MAX_ROOTS} folders and {MAX_EXCLUSIONS} exclusions at most")
     inside, outside = F.lit(False), F.lit(False)
     for root in roots:
         inside = inside | under(path, root)

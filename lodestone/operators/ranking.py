@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone import scratch
+from lodestone.functions import fuzzy
+from lodestone.functions.fuzzy import BOUNDARY, CAMEL, CONSECUTIVE, FIRST_BONUS, GAP_MORE, GAP_START, MATCH
 from lodestone.functions.usage import boost
 
 FUZZY, SUBSTRING, WORD_START, PREFIX, EXACT = 1, 2, 3, 4, 5
@@ -56,9 +63,6 @@ def key(name: Column, path: Column, is_app: Column, used: Column, fuzzy: Column,
     )
 
 
-MATCH, FIRST_BONUS, BOUNDARY, CAMEL, CONSECUTIVE, GAP_START, GAP_MORE = 16, 2, 10, 5, 4, 3, 1
-
-
 def fuzzy_match(query: str, name: str) -> tuple[int, list[int]] | None:
     """(score, positions) of the best subsequence match; None if the query is no subsequence.
 
@@ -115,39 +119,112 @@ def fuzzy_match(query: str, name: str) -> tuple[int, list[int]] | None:
     return score[-1][best], path[::-1]
 
 
-@F.pandas_udf(T.IntegerType())
-def fuzzy_score(query: pd.Series, name: pd.Series) -> pd.Series:
-    """Score of each name for each query; null where it does not match."""
-    out = [fuzzy_match(q or "", n or "") for q, n in zip(query, name)]
-    return pd.Series([x[0] if x else None for x in out], dtype="Int32")
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def highlights(query: pd.Series, name: pd.Series) -> pd.Series:
     """Character positions of the match, sorted; empty without one."""
     return pd.Series([(fuzzy_match(q or "", n or "") or (0, []))[1] for q, n in zip(query, name)])
 
 
-def may_match(query: Column, name: Column) -> Column:
-    """Cheap JVM-side test that a query is a subsequence of a name, before any Python."""
-    pattern = F.concat(F.lit("(?is).*"), F.regexp_replace(query, r"(?s)(.)", r"\\Q$1\\E.*"))
-    return F.when(F.contains(query, F.lit("\\E")), True).otherwise(F.rlike(name, pattern))
+def _search_names(block: list[tuple[int, str]], most: int):
+    """Task: the best ``most`` names of each query in the batches it sees."""
+
+    def run(batches):
+        best = {q: fuzzy.Best(most) for q, _ in block}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            ids, shown = batch.column("id").to_numpy(zero_copy_only=False), batch.column("name").to_pylist()
+            factor, names = batch.column("factor").to_numpy(), np.array(shown, object)
+            forms = {}
+            for q, text in block:
+                if not text.strip():
+                    best[q].add(np.zeros(len(ids), np.int64), ids, names)
+                    continue
+                fold = fuzzy.folds(text)
+                if fold not in forms:
+                    forms[fold] = fuzzy.Names(shown, fold)
+                fuzzy.search(best[q], text, forms[fold], names, ids, factor)
+        for q, found in best.items():
+            if len(found.score):
+                yield pa.record_batch([pa.array(np.full(len(found.score), q, np.int32)), pa.array(found.id, kind), pa.array(found.name, pa.string()), pa.array(found.score)], ["at", "id", "name", "score"])
+
+    return run
+
+
+#: Queries that one pass over the names answers.
+QUERY_BLOCK = 1024
+
 
+def rank_names(names: DataFrame, queries: DataFrame, most: int = 50, usage: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, name, score, place): names(id, name) by fuzzy score times boost of usage(id, used), ties by id.
 
-def rank_names(names: DataFrame, queries: DataFrame, most: int = 50, usage: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, place): names(id, name) by fuzzy score times boost of usage(id, used), ties by id.
+    usage may have ``external``, another record of the same uses: the larger of the two counts. Queries go to the
+    tasks in blocks of bounded length; a task aligns only names whose bound reaches its best so far and sends on
+    at most ``most`` names a query, so names meet by those alone. Several blocks are written in turn.
 
-    A blank query lists the first names. The queries are what a caller typed: a few rows, sent to all names.
+    Defined cases: a blank query lists the first ids; null names, ids and queries match nothing; ids and query ids may
+    repeat, each row counts; no names or no queries give no rows; other columns are ignored.
     """
-    pairs = names.select("id", "name").join(queries.select("query_id", "text"), may_match(F.col("text"), F.col("name")))
-    if usage is not None:
-        pairs = pairs.join(usage.select("id", "used"), "id", "left")
+    spark = names.sparkSession
+    rows = names.where("id is not null and name is not null").select("id", "name")
+    if usage is None:
+        rows = rows.withColumn("factor", F.lit(1.0))
     else:
-        pairs = pairs.withColumn("used", F.lit(0.0))
-    scored = pairs.withColumn("raw", fuzzy_score("text", "name")).where("raw is not null")
-    scored = scored.withColumn("score", F.round(F.col("raw") * boost(F.col("used"))).cast("long"))
+        uses = F.greatest("used", "external") if "external" in usage.columns else F.col("used")
+        rows = rows.join(usage.groupBy("id").agg(F.max(uses).alias("used")), "id", "left").select("id", "name", boost(F.col("used")).alias("factor"))
+    id_type, query_type = names.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("query_id", "id", "name", "score", "place")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+
+    def searched(asked: list) -> DataFrame:
+        found = rows.mapInArrow(_search_names([(i, r.text) for i, r in enumerate(asked)], most), f"at int, id {id_type}, name string, score long")
+        keys = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], f"at int, query_id {query_type}")
+        return found.join(F.broadcast(keys), "at").select("query_id", "id", "name", "score")
+
+    left = queries.where("text is not null").select("query_id", "text").toLocalIterator()
+    blocks = iter(lambda: list(itertools.islice(left, block)), [])
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return ranked(searched(first))
+    path = scratch.fresh(spark, "names")
+    for asked in itertools.chain([first, second], blocks):
+        ranked(searched(asked)).drop("place").write.mode("append").parquet(path)
+    return ranked(spark.read.parquet(path))
+
+
+#: Characters of a clip that are searched (fixed value).
+CLIP_CHARS = 500
+
+
+def search_clips(history: DataFrame, text: str, most: int = 50) -> DataFrame:
+    """history(clip, text, pinned, front) with ``place``: by fuzzy score over the first 500 characters; a blank text lists pinned clips, then the newest.
+
+    Ties are listed as a blank text lists them; a null text matches nothing; an empty history gives no rows.
+    """
+    if not text.strip():
+        newest = Window.orderBy(F.desc("pinned"), F.desc("front"), "clip")
+        few = history.select("clip", "text", "pinned", "front").orderBy(F.desc("pinned"), F.desc("front"), "clip").limit(most)
+        return few.withColumn("place", F.row_number().over(newest))
+    asked = history.sparkSession.createDataFrame([(0, text)], "query_id int, text string")
+    # a key that sorts as the list does decides ties
+    age = F.lpad((F.lit(1 << 62) - F.col("front").cast("long")).cast("string"), 20, "0")
+    keyed = history.select("clip", "text", "pinned", "front", F.concat(F.when(F.col("pinned"), "0").otherwise("1"), age, F.lit(":"), F.col("clip").cast("string")).alias("key"))
+    found = rank_names(keyed.select(F.col("key").alias("id"), F.substring("text", 1, CLIP_CHARS).alias("name")), asked, most)
+    return keyed.join(F.broadcast(found.select(F.col("id").alias("key"), "score", "place")), "key").drop("key")
+
+
+def matching_commands(commands: DataFrame, text: str) -> DataFrame:
+    """commands(title, keywords) of which the title, a word of it or a keyword starts with the text; texts under three characters match nothing."""
+    plain = " ".join(text.split()).lower()
+    if len(plain) < 3:
+        return commands.where(F.lit(False))
+    title = F.lower(F.regexp_replace("title", "…+$", ""))
+    starts = lambda x: F.startswith(x, F.lit(plain))
+    words = F.exists(F.split(title, r"\s+"), starts)
+    keys = F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.coalesce(starts(k), F.lit(False)))
+    return commands.where(F.coalesce(words, F.lit(False)) | F.coalesce(starts(title), F.lit(False)) | keys)
 
 
 def merged_lanes(*lanes: DataFrame, key_column: str = "id", most: int | None = None) -> DataFrame:
