@@ -74,6 +74,12 @@ def retain_roots(catalog: DataFrame, roots: DataFrame) -> DataFrame:
     return catalog.join(roots.select("root").distinct(), "root", "left_semi")
 
 
+def keep_differences(held: DataFrame, keep: DataFrame, key: str = "id") -> DataFrame:
+    """(key, side) where the two sets differ: ``prune`` is held but not to be kept, ``missing`` is to be kept but not held. Null keys are in neither set."""
+    a, b = held.where(F.col(key).isNotNull()).select(key).distinct(), keep.where(F.col(key).isNotNull()).select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("side", F.lit("prune")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("missing")))
+
+
 def extraction_failed(catalog: DataFrame, failures: DataFrame) -> DataFrame:
     """catalog with failures(identity, code); the body that was there stays."""
     return catalog.join(failures.select("identity", "code"), "identity", "left").withColumn("extraction", F.coalesce("code", "extraction")).withColumn("body", F.coalesce("body", F.lit(""))).drop("code")

@@ -210,7 +210,10 @@ def search_clips(history: DataFrame, text: str, most: int = 50) -> DataFrame:
     asked = history.sparkSession.createDataFrame([(0, text)], "query_id int, text string")
     # a key that sorts as the list does decides ties
     age = F.lpad((F.lit(1 << 62) - F.col("front").cast("long")).cast("string"), 20, "0")
-    keyed = history.select("clip", "text", "pinned", "front", F.concat(F.when(F.col("pinned"), "0").otherwise("1"), age, F.lit(":"), F.col("clip").cast("string")).alias("key"))
+    clip = F.col("clip").cast("string")
+    if history.schema["clip"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        clip = F.lpad((F.col("clip").cast("decimal(20,0)") + F.lit(1 << 62).cast("decimal(20,0)") * 2).cast("string"), 20, "0")
+    keyed = history.select("clip", "text", "pinned", "front", F.concat(F.when(F.col("pinned"), "0").otherwise("1"), age, F.lit(":"), clip).alias("key"))
     found = rank_names(keyed.select(F.col("key").alias("id"), F.substring("text", 1, CLIP_CHARS).alias("name")), asked, most)
     return keyed.join(F.broadcast(found.select(F.col("id").alias("key"), "score", "place")), "key").drop("key")
 

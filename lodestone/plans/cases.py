@@ -361,6 +361,16 @@ def retained_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.retain_roots(n, table(spark, sf_dir, "region").where("r_name like 'A%'").select(F.col("r_regionkey").alias("root"))).select("id")
 
 
+@query(
+    """WITH h AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0), k AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F')
+SELECT id, 'prune' AS side FROM h WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT id, 'missing' FROM k WHERE id NOT IN (SELECT id FROM h)"""
+)
+def keep_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in credit as what is held, those with a finished order as what is to be kept."""
+    held = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return state.keep_differences(held, table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")))
+
+
 @query("SELECT l_orderkey AS document_id, l_linenumber AS revision, l_linenumber = 1 + l_orderkey % 3 AS current FROM lineitem")
 def fenced_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late results: lines of an order as its revisions, one of which is current."""

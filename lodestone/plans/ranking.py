@@ -157,3 +157,63 @@ def explain_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def busy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("folder"), epoch().alias("at"))
     return inventory.busy_folders(e, NOW, span=86400, least=2)
+
+
+#: SQL of the letters of part names with their bonuses: 10 at a word's start, 5 at a hump, else 0.
+_LETTERS = r"""c AS (SELECT id, name, i, lower(name)[i] AS c, name[i] AS now, CASE WHEN i = 1 THEN ' ' ELSE name[i - 1] END AS before FROM (SELECT p_partkey AS id, p_name AS name, unnest(range(1, length(p_name) + 1)) AS i FROM part)),
+l AS (SELECT id, name, i, c, CASE WHEN regexp_matches(now, '[\p{L}\p{N}]') AND NOT regexp_matches(before, '[\p{L}\p{N}]') THEN 10 WHEN regexp_matches(now, '\p{Lu}') AND regexp_matches(before, '\p{Ll}') OR regexp_matches(now, '\p{Nd}') AND NOT regexp_matches(before, '\p{Nd}') THEN 5 ELSE 0 END AS bonus FROM c)"""
+
+
+@query(
+    f"""WITH {_LETTERS}, q AS (SELECT n_nationkey AS query_id, lower(n_name[1]) AS a, lower(n_name[2]) AS b FROM nation),
+s AS (SELECT query_id, x.id, x.name, max(32 + 2 * x.bonus + CASE WHEN y.i = x.i + 1 THEN greatest(x.bonus, y.bonus, 4) ELSE y.bonus - 3 - (y.i - x.i - 2) END) AS score FROM q JOIN l x ON x.c = q.a JOIN l y ON y.c = q.b AND y.id = x.id AND y.i > x.i GROUP BY ALL)
+SELECT query_id, id, name, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s QUALIFY place <= 20"""
+)
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the first two letters of each nation."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.substring("n_name", 1, 2)).alias("text"))
+    return ranking.rank_names(names, asked, 20)
+
+
+@query(
+    f"""WITH {_LETTERS}, q AS (SELECT r_regionkey AS query_id, lower(r_name[1]) AS a FROM region), o AS (SELECT l_partkey AS id, count(*) / 8.0::DOUBLE AS used FROM lineitem GROUP BY 1),
+u AS (SELECT p_partkey AS id, greatest(coalesce(used, 0), p_size / 8.0::DOUBLE) AS used FROM part LEFT JOIN o ON o.id = p_partkey WHERE p_partkey % 3 = 0),
+s AS (SELECT query_id, l.id, l.name, floor(max(16 + 2 * bonus) * (1.0::DOUBLE + 0.6::DOUBLE * max(coalesce(used, 0)) / (max(coalesce(used, 0)) + 3.0::DOUBLE)) + 0.5::DOUBLE)::BIGINT AS score FROM q JOIN l ON l.c = q.a LEFT JOIN u ON u.id = l.id GROUP BY ALL)
+SELECT query_id, id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s QUALIFY place <= 50"""
+)
+def boosted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the first letter of each region; every third part has uses, its orders or its size, whichever is more."""
+    p = table(spark, sf_dir, "part")
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg((F.count("*") / 8.0).alias("used"))
+    uses = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 8.0).alias("external")).join(orders, "id", "left")
+    asked = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.lower(F.substring("r_name", 1, 1)).alias("text"))
+    return ranking.rank_names(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), asked, 50, uses)
+
+
+@query(
+    r"""WITH h AS (SELECT doc_id AS clip, doc_id % 50 = 0 AS pinned, n_chars AS front, substr(text, 1, 500) AS t FROM documents),
+s AS (SELECT *, CASE WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}])q') THEN 36 WHEN regexp_matches(t, '\p{Ll}Q') THEN 26 WHEN regexp_matches(t, '(?i)q') THEN 16 END AS score FROM h)
+SELECT clip, score::BIGINT AS score, row_number() OVER (ORDER BY score DESC, pinned DESC, front DESC, clip) AS place FROM s WHERE score IS NOT NULL QUALIFY place <= 50"""
+)
+def clip_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as clips, searched for a letter in what the search reads of a clip."""
+    history = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip"), "text", (F.col("doc_id") % 50 == 0).alias("pinned"), F.col("n_chars").alias("front"))
+    return ranking.search_clips(history, "q").select("clip", "score", "place")
+
+
+@query(
+    "SELECT p_partkey FROM part WHERE len(list_filter(string_split_regex(lower(p_name), '\\s+'), lambda w: starts_with(w, 'rin'))) > 0 OR starts_with(lower(p_name), 'rin') OR starts_with(lower(p_brand), 'rin') OR starts_with(lower(p_type), 'rin')"
+)
+def command_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as commands, their brands and types as keywords."""
+    p = table(spark, sf_dir, "part")
+    commands = p.select("p_partkey", F.col("p_name").alias("title"), F.array(F.lower("p_brand"), F.lower("p_type")).alias("keywords"))
+    return ranking.matching_commands(commands, " RIN").select("p_partkey")
+
+
+@query(f"WITH {_PATHS} SELECT document_id FROM paths WHERE regexp_matches(path, '\\.(txt|md|markdown|rst|html|pdf|docx|doc|rtf|odt|pptx)$') OR (NOT regexp_matches(path, '\\.(json|csv|tsv|xml|yaml|yml|toml)$') AND (path LIKE '/src1/%' OR path LIKE '/src2/en/%'))")
+def eligible_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose and documents of all folders, code of two."""
+    d = paths(spark, sf_dir)
+    return d.where(filters.eligible_path(F.col("path"), ["/src1", "/src2/en"])).select("document_id")

@@ -73,3 +73,9 @@ def test_phrases():
 def test_exclusions(spark):
     rows = spark.createDataFrame([("/a/.git/x",), ("/a/node_modules/x.js",), ("/a/id_rsa",), ("/a/k.pem",), ("/a/B.app/x",), ("/a/ok.md",)], "path string")
     assert [r.path for r in rows.where(~filters.excluded(F.col("path"))).collect()] == ["/a/ok.md"]
+
+
+def test_eligible_paths_with_code_roots(spark):
+    rows = [("/a/x.md", True), ("/a/x.rs", False), ("/code/x.rs", True), ("/code/Makefile", True), ("/code/x.json", False), ("/codes/x.rs", False), ("/a/x.PDF", True), ("/a/Makefile", False), (None, False)]
+    paths = spark.createDataFrame(rows, "path string, expected boolean")
+    assert [r.path for r in paths.withColumn("got", filters.eligible_path(F.col("path"), ["/code"])).where("not (got <=> expected)").collect()] == []

@@ -111,3 +111,8 @@ def test_busy_folders_and_policies(spark, tmp_path):
     assert [retry_delay(i) for i in (0, 1, 5, 9)] == [30, 60, 900, 900]
     lines = spark.createDataFrame([('{"Action":"start","id":"0123456789ab","time":5}',), ('{"Action":"exec","id":"0123456789ab"}',), ("junk",)], "value string")
     assert [r.action for r in container_events(lines).collect()] == ["start"]
+
+
+def test_both_sides_of_a_keep_set(spark):
+    held, keep = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int"), spark.createDataFrame([(2,), (3,), (None,)], "id int")
+    assert sorted(map(tuple, state.keep_differences(held, keep).collect())) == [(1, "prune"), (3, "missing")]
