@@ -226,3 +226,45 @@ def test_history_equals_brute_force(spark):
     for name, changes in tokencounts.history(df).items():
         rollup.commit(name, changes)
     assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == want
+
+
+def test_notices_name_licences_and_people_do_not(spark):
+    cases = [
+        ("A new study published by MIT researchers shows it; see our license page", []),
+        ("The telescope is used by MIT. A driving licence is needed", []),
+        ("Data distributed by MIT Lincoln Lab; permission is required", []),
+        ("The data is used under MIT supervision, see the license page", []),
+        ("The book was published by GPL Press under license", []),
+        ("This program is not licensed under the MIT License", []),
+        ("This program isn't licensed under the MIT License", []),
+        ("It is no longer distributed under the GNU GPL version 2", []),
+        ("Released under MIT license", ["MIT"]),
+        ("The code is licensed under MIT.", ["MIT"]),
+        ("This work is covered by the MIT License", ["MIT"]),
+        ("Use is governed by the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("Use is subject to the terms of the Mozilla Public License, version 2.0", ["MPL-2.0"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option", ["Apache-2.0", "MIT"]),
+        ("Released under the MIT license or the GNU GPL v2", ["GPL-2.0-only", "MIT"]),
+        ("Licensed under the BSD 3-Clause and MIT licenses", ["BSD-3-Clause", "MIT"]),
+        ("Distributed under the Common Development and Distribution License, Version 1.0", ["CDDL-1.0"]),
+        ("Python is distributed under the Python Software Foundation License Version 2", ["PSF-2.0"]),
+        ("CC0 1.0 Universal", ["CC0-1.0"]),
+        (
+            "# Licensed to the Apache Software Foundation (ASF) under one\n# or more contributor license agreements.  See the NOTICE file\n# distributed with this work for additional information\n"
+            "# regarding copyright ownership.  The ASF licenses this file\n# to you under the Apache License, Version 2.0 (the\n# \"License\"); you may not use this file except in compliance\n# with the License.  You may obtain a copy of the License at\n",
+            ["Apache-2.0"],
+        ),
+        (
+            "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, "
+            "including all related and neighboring rights, to the extent allowed by law.",
+            ["CC0-1.0"],
+        ),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert [(cases[i][0], got[i]) for i in range(len(cases)) if got[i] != cases[i][1]] == []
+
+
+def test_two_licences_of_a_sentence_are_two_identifiers(spark):
+    docs = spark.createDataFrame([(1, "Licensed under either of Apache License, Version 2.0 or MIT license at your option")], "doc_id long, text string")
+    assert licences.scan(docs).first().sentence_ids == ["Ref:Apache-2.0", "Ref:MIT"]
