@@ -135,7 +135,7 @@ class Best:
         self.most, self.score, self.id, self.name = most, np.zeros(0, np.int64), None, np.zeros(0, object)
 
     def may_enter(self, bound: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if len(self.score) < self.most:
+        if len(self.score) < max(1, self.most):
             return np.ones(len(bound), bool)
         worst = self.score[-1]
         return (bound > worst) | (bound == worst) & (ids < self.id[-1])
@@ -154,7 +154,7 @@ def search(best: Best, text: str, names: Names, shown: np.ndarray, ids: np.ndarr
     rows = names.candidates(needle)
     bound = np.floor(names.bounds(needle, rows) * factor[rows] + 0.5).astype(np.int64)
     order = np.argsort(-bound, kind="stable")
-    rows, bound, step = rows[order], bound[order], 2 * best.most
+    rows, bound, step = rows[order], bound[order], max(1, 2 * best.most)
     while len(rows):
         now = rows[:step]
         score = names.scores(needle, now)

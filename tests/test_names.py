@@ -78,6 +78,7 @@ def test_rank_names_of_empty_tables_and_text_ids(spark):
     assert [(r.query_id, r.id) for r in ranking.rank_names(n, q).orderBy("place").collect()] == [("x", "a"), ("x", "b")]
     assert ranking.rank_names(n.limit(0), q).count() == 0
     assert ranking.rank_names(n, q.limit(0)).count() == 0
+    assert ranking.rank_names(n, q, 0).count() == 0
 
 
 def test_clips(spark):
