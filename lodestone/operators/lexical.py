@@ -116,11 +116,11 @@ def search_any(index: WordIndex, queries: DataFrame, most: int = RESULTS) -> Dat
     return _top(found, [F.col("rank"), F.col("id")], most)
 
 
-def search_strict(index: WordIndex, queries: DataFrame, most: int = RESULTS) -> DataFrame:
-    """(query_id, id, rank, place): the strict lane of ``search_passages`` alone."""
+def search_strict(index: WordIndex, queries: DataFrame, most: int = RESULTS, newest_first: bool = False) -> DataFrame:
+    """(query_id, id, rank, place): the strict lane of ``search_passages`` alone; ties by id, or the newest first."""
     terms = _required(queries)
     found = _strict(terms, scored(index, terms)[0])
-    return _top(found.select("query_id", "id", (-F.round("score", 9)).alias("rank")), [F.col("rank"), F.col("id")], most)
+    return _top(found.select("query_id", "id", (-F.round("score", 9)).alias("rank")), [F.col("rank"), F.desc("id") if newest_first else F.col("id")], most)
 
 
 def search_passages(index: WordIndex, queries: DataFrame, scope: DataFrame | None = None, most: int = RESULTS) -> DataFrame:
