@@ -21,6 +21,12 @@ FOUND = "query_id long, id long, distance double"
 BLOCK_BYTES = 32 << 20
 #: Below so many rows in scope the exact scan serves; newer vectors are scanned up to as many.
 EXACT_BELOW = 2048
+#: Id of a place without a row.
+NOBODY = np.iinfo(np.int64).max
+#: Queries and rows whose distances a task holds at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 512, 2048
+#: Rows of a part of a cell that one group of a search holds.
+PART = 8192
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -30,36 +36,64 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(queries: DataFrame, most_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, vectors) of the queries, a bounded block at a time; the driver holds one block."""
-    keys, held, used = [], [], 0
-    for r in queries.select("query_id", "q").where("q is not null").toLocalIterator():
+def _blocks(queries: DataFrame, most_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, vectors, bounds) of the queries, a bounded block at a time; the driver holds one block."""
+    keys, held, bounds, used = [], [], [], 0
+    bound = F.col("bound") if "bound" in queries.columns else F.lit(None)
+    for r in queries.select("query_id", "q", bound.cast("double").alias("bound")).where("q is not null").toLocalIterator():
         keys.append(r.query_id)
         held.append(np.array(r.q, np.float64))
+        bounds.append(np.nan if r.bound is None else r.bound)
         used += held[-1].nbytes
         if used >= most_bytes:
-            yield np.array(keys, np.int64), np.stack(held)
-            keys, held, used = [], [], 0
+            yield np.array(keys, np.int64), np.stack(held), np.array(bounds)
+            keys, held, bounds, used = [], [], [], 0
     if keys:
-        yield np.array(keys, np.int64), np.stack(held)
+        yield np.array(keys, np.int64), np.stack(held), np.array(bounds)
+
+
+class Best:
+    """The best ``most`` rows (distance, id) of each of a number of queries, a block of distances at a time."""
+
+    def __init__(self, queries: int, most: int, bound: np.ndarray | None = None):
+        self.bound = np.full(queries, np.nan) if bound is None else bound
+        # a place that no row has yet; distances that are no numbers come last, as in a sort
+        self.d, self.i = np.full((queries, most), np.nan), np.full((queries, most), NOBODY)
+
+    def add(self, own: np.ndarray, asked: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Compare the queries numbered ``own``, whose vectors are ``asked``, with rows; a part of both at a time."""
+        most = self.d.shape[1]
+        for q in range(0, len(own), QUERIES_AT_ONCE):
+            part, mine = asked[q : q + QUERIES_AT_ONCE], own[q : q + QUERIES_AT_ONCE]
+            for at in range(0, len(ids), ROWS_AT_ONCE):
+                d = np.round(np.clip(1.0 - part @ v[at : at + ROWS_AT_ONCE].T, 0.0, 2.0), 9)
+                # only rows that reach a query's worst place so far are sorted
+                row, column = np.nonzero(~(d > np.fmin(self.d[mine, -1:], self.bound[mine, None])))
+                if not len(row):
+                    continue
+                held, here = np.unique(row), mine[np.unique(row)]
+                new = np.concatenate([np.repeat(np.arange(len(held)), most), np.searchsorted(held, row)])
+                far = np.concatenate([self.d[here].ravel(), d[row, column]])
+                key = np.concatenate([self.i[here].ravel(), ids[at + column]])
+                order = np.lexsort((key, far, new))
+                first = np.searchsorted(new[order], np.arange(len(held)))
+                pick = order[first[:, None] + np.arange(most)]
+                self.d[here], self.i[here] = far[pick], key[pick]
+
+    def found(self, keys: np.ndarray) -> pa.RecordBatch:
+        row, place = np.nonzero(self.i != NOBODY)
+        return pa.record_batch([pa.array(keys[row]), pa.array(self.i[row, place]), pa.array(self.d[row, place])], ["query_id", "id", "distance"])
 
 
 def _scan(block, most: int):
     """The best ``most`` rows of a task for each query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, asked = block.value
-        best_d, best_i = np.full((len(keys), 0), 0.0), np.zeros((len(keys), 0), np.int64)
+        keys, asked, bound = block.value
+        best = Best(len(keys), most, bound)
         for batch in batches:
-            ids, v = batch.column("id").to_numpy(), matrix(batch.column("v"))
-            for at in range(0, len(ids), 1024):
-                d = np.round(np.clip(1.0 - asked @ v[at : at + 1024].T, 0.0, 2.0), 9)
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids[at : at + 1024], d.shape)], axis=1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :most]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_d.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(keys, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "id", "distance"])
+            best.add(np.arange(len(keys)), asked, batch.column("id").to_numpy(), matrix(batch.column("v")))
+        yield best.found(keys)
 
     return run
 
@@ -69,14 +103,21 @@ def _best(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all tasks: small files of vectors are much work."""
+    return rows.repartition(2 * max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def nearest(queries: DataFrame, rows: DataFrame, most: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, distance, place): the exact best rows(id, v) of each of queries(query_id, q).
 
+    With queries(query_id, q, bound) only rows within a query's bound are looked for, where it is not null.
+
     Queries go to all tasks in blocks of bounded bytes; each task keeps its best per query, and only those meet.
     Several blocks run in turn: each is written and its broadcast released before the next is read.
     """
     spark = rows.sparkSession
-    plain = rows.where("v is not null").select(F.col("id").cast("long").alias("id"), "v")
+    plain = spread(rows.where("v is not null").select(F.col("id").cast("long").alias("id"), "v"))
 
     def scanned(block) -> tuple[DataFrame, object]:
         sent = spark.sparkContext.broadcast(block)
@@ -146,7 +187,15 @@ class CellIndex:
                 return nearest(queries, every.join(scope, "id", "left_semi"), most)
             held = held.join(scope, "id", "left_semi")
         asked = _celled(queries.where("q is not null").select("query_id", "q"), "q", self.centre, probes)
-        near = asked.join(held, "cell").select("query_id", "id", "q", "v").mapInArrow(_distances, "query_id long, id long, distance double")
+        # a cell's rows meet its queries as two matrices, in parts of both of bounded size
+        sides = held.select("cell", "id", "v"), asked.select("cell", F.col("query_id").cast("long").alias("id"), F.col("q").alias("v"))
+        parts = [side.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias(n)) for side, n in zip(sides, ("of_rows", "of_queries"))]
+        sizes = F.broadcast(parts[0].join(parts[1], "cell"))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = sides[0].join(sizes, "cell").select("cell", own("of_rows").alias("row_part"), all_of("of_queries").alias("query_part"), F.lit(False).alias("asks"), "id", "v")
+        asks = sides[1].join(sizes, "cell").select("cell", all_of("of_rows").alias("row_part"), own("of_queries").alias("query_part"), F.lit(True).alias("asks"), "id", "v")
+        near = rows.unionByName(asks).groupBy("cell", "row_part", "query_part").applyInArrow(_met(most), FOUND)
         if newer is not None:
             fresh = newer if scope is None else newer.join(scope, "id", "left_semi")
             near = near.unionByName(nearest(queries, fresh, most).drop("place"))
@@ -170,6 +219,18 @@ def _celled(rows: DataFrame, column: str, centre: np.ndarray, probes: int) -> Da
     return rows.mapInArrow(run, f"{fields}, cell int")
 
 
+def _met(most: int):
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        ids, v = group.column("id").to_numpy(), matrix(group.column("v"))
+        best = Best(int(asks.sum()), most)
+        if asks.any():
+            best.add(np.arange(len(best.d)), v[asks], ids[~asks], v[~asks])
+        return pa.Table.from_batches([best.found(ids[asks])])
+
+    return run
+
+
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dots = np.einsum("ij,ij->i", matrix(batch.column("q")), matrix(batch.column("v"))) if batch.num_rows else np.zeros(0)

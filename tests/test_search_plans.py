@@ -19,3 +19,47 @@ def test_quality_metrics_rank_matches_of_common_terms_too(spark, small, monkeypa
     # small tables have no term in 10 000 documents
     monkeypatch.setattr(BlockIndex.search_documents, "__defaults__", (100, 3))
     same_as_sql(spark, small, "quality_metrics")
+
+
+def test_graph_neighbours_are_exact_when_the_beam_misses_rows(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.neighbours import nearest
+    from lodestone.operators.vector_graph import GraphIndex
+
+    v = np.random.default_rng(5).normal(size=(900, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    asked = rows.where("id % 45 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    listed = lambda df: sorted((r.query_id, r.place, r.id, round(r.distance, 6)) for r in df.collect())
+    old, newer = rows.where("id < 800"), rows.where("id >= 780")
+    index, want = GraphIndex.built(old, most=300), listed(nearest(asked, rows, 5))
+    assert listed(index.search(asked, 5, newer, beam=5, width=1)) != want
+    assert listed(index.search(asked, 5, newer, beam=5, width=1, exact=True)) == want
+
+
+def test_cells_of_several_parts_and_blocks_of_any_shape_give_the_exact_rows(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import neighbours
+
+    v = np.random.default_rng(6).integers(-2, 3, size=(400, 3)) + 0.25
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    asked = rows.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    d = np.round(np.clip(1 - v[::7] @ v.T, 0, 2), 9)
+    want = sorted((7 * q, place, int(i)) for q, row in enumerate(d) for place, i in enumerate(np.lexsort((np.arange(400), row))[:6], 1))
+    listed = lambda df: sorted((r.query_id, r.place, r.id) for r in df.collect())
+    assert listed(neighbours.nearest(asked, rows, 6)) == want
+    monkeypatch.setattr(neighbours, "PART", 16)
+    found = neighbours.CellIndex.built(rows, 4).search(asked, 6, 4)
+    assert listed(found) == want
+    assert "applyInArrow" in str(found._jdf.queryExecution().optimizedPlan()) or "FlatMapGroupsInArrow" in str(found._jdf.queryExecution().optimizedPlan())
+    # a task's distances are held for a part of the queries and rows only
+    best = neighbours.Best(58, 6)
+    monkeypatch.setattr(neighbours, "QUERIES_AT_ONCE", 5)
+    monkeypatch.setattr(neighbours, "ROWS_AT_ONCE", 9)
+    best.add(np.arange(58), v[::7], np.arange(400), v)
+    assert sorted((7 * q, place, int(i)) for q, row in enumerate(best.i) for place, i in enumerate(row, 1)) == want
