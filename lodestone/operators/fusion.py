@@ -65,7 +65,8 @@ def select_fused(ranked: DataFrame, passages: DataFrame, per_document: int = PER
     document only, so groups are (query, document): at most the 200 ranked rows of a query.
     """
     columns = [c for c in ranked.columns if c != "place"]
-    joined = ranked.join(passages.select("id", "document_id", "text"), "id").select("document_id", "text", "place", *columns)
+    # the ranked rows go to the passages, of which only they move on
+    joined = passages.select("id", "document_id", "text").join(F.broadcast(ranked), "id").select("document_id", "text", "place", *columns)
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         keep: list[int] = []
