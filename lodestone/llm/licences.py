@@ -6,7 +6,7 @@ licence sentence. Sentences that refer to a licence by name ("released under the
 map to ``Ref:`` and the licence, or to two of them where a notice offers two. Each document's identifiers, in order, are matched against ordered rules:
 longer rules stand first and take their sentences, so a text is named by the most that it says.
 
-Only texts with a trigger word are cut, and only recognised sentences leave the expression, so nothing is
+Only texts with a word that some sentence or name must have are cut, and only recognised sentences leave the expression, so nothing is
 grouped or shuffled. Lines are looked up alone where the sentence around them is not known, or where
 several of them are.
 
@@ -165,6 +165,11 @@ VERSION = r"(?i)(?:\b|(?<=GPL))v(?:er)?\.?[ \t]*(?=[0-9])"
 #: A sentence ends at . ! ? ; : before white space or the end, or at a line without letters or digits; a single newline only wraps it.
 BREAK = r"\n[^\p{L}\p{N}\n]*(?=\n)|[.!?;:]+[\"')\]]*(?=\s|$)"
 TRIGGER = r"(?i)licen[sc]e|rights[^\p{L}\p{N}]+reserved|permission[^\p{L}\p{N}]+(?:is|to)\b|redistribution|either[^\p{L}\p{N}]+version|public[^\p{L}\p{N}]+domain|creative[^\p{L}\p{N}]+commons|\bcc[^\p{L}\p{N}]by|spdx|\bcc0\b|\b[al]?gpl"
+#: Any text that can hold a known sentence or name has one of these, too: they, not a guess, decide what is cut.
+#: Words of sentences and names that TRIGGER doesn't have; of its own it has those of the GNU and Commons names.
+WORDS = r"advertising|endorse|as[^\p{L}\p{N}]+is\b|mention|retain|reproduce|redistribute|permission|without[^\p{L}\p{N}]+warranty|unencumbered|subject[^\p{L}\p{N}]+to|waiving|compliance|mozilla|apache|(?<![\p{L}\p{N}])mpl|(?<![\p{L}\p{N}])bsd|(?<![\p{L}\p{N}])isc(?![\p{L}\p{N}])|eclipse|boost|zlib|wtfpl|artistic|open[^\p{L}\p{N}]+database|python[^\p{L}\p{N}]+software|common[^\p{L}\p{N}]+development|cddl|(?<![\p{L}\p{N}])psf|general[^\p{L}\p{N}]+public"
+#: "mit" is a word of other languages: it names a licence after a notice only.
+NOTICED = r"(?s)(?:under|by|subject|licen[sc]es)[^\p{L}\p{N}].*(?<![\p{L}\p{N}])mit(?![\p{L}\p{N}])"
 
 #: What may stand before a licence's first words without a stop: a title and a copyright line.
 LEAD = r"^.+? (?=permission is hereby granted |permission to use copy |redistribution and use in |this source code form is |this is free and unencumbered )"
@@ -238,6 +243,7 @@ def _tagged(s: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order; null where the text has no trigger word."""
     pairs = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    low = F.lower(text)
     known, names = pairs({normalised(k): v for k, v in SENTENCES.items()}), pairs(NAMES)
     clean = F.regexp_replace(F.regexp_replace(text, MARKS, ""), SPDX, "\n\nSPDX-License-Identifier $1\n\n")
     clean = F.regexp_replace(F.regexp_replace(clean, VERSION, " version "), r"(?<=[0-9])\+(?=[^0-9A-Za-z]|$)", " or later")
@@ -260,7 +266,7 @@ def sentence_ids(text: Column) -> Column:
         both = F.array(F.struct(F.transform(F.array(s), of).alias("whole"), each.alias("each")))
         return F.when(F.contains(s, F.lit("SPDX-License-Identifier")), _tagged(s)).otherwise(F.flatten(F.transform(both, pick)))
 
-    triggered = F.when(text.rlike(TRIGGER), clean)
+    triggered = F.when(text.rlike(f"{TRIGGER}|{WORDS}") | low.rlike(NOTICED), clean)
     found = F.filter(F.flatten(F.transform(F.split(triggered, BREAK), ids_of)), lambda x: x.isNotNull())
     return F.flatten(F.transform(found, lambda x: F.split(x, TWO)))
 
