@@ -93,19 +93,17 @@ class EmbeddingPass:
     def step(self, rows: DataFrame, model: Model, batch: int = NATIVE_BATCH) -> bool:
         """Embed and commit the next page; False once nothing is left."""
         state = self.state()
-        page = scratch.saved(self.pending(rows).select("id", "revision", "text").orderBy("id", "revision").limit(self.page_rows), "embedding-page")
-        last = page.agg(F.max("id")).first()[0]
+        # only ids of a page meet in a task; its rows, with all of those of its last id, stay spread
+        ids = self.pending(rows).select("id").orderBy("id").limit(self.page_rows)
+        last = ids.agg(F.max("id")).first()[0]
         if last is not None:
-            # rows of the last id may lie beyond the page's end, and belong to it
-            rest = self.pending(rows).select("id", "revision", "text").where(F.col("id") == last)
-            whole = page.where(F.col("id") < last).unionByName(rest)
+            whole = self.pending(rows).select("id", "revision", "text").where(F.col("id") <= last)
             folder = f"vectors/{scratch.fresh(self.spark, 'page').rsplit('/', 1)[1]}"
             embedded(whole.repartition(self.tasks), model, self.dimensions, batch).write.parquet(f"{self.path}/{folder}")
             n = self.spark.read.schema(VECTORS).parquet(f"{self.path}/{folder}").agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad")).first()
             self.manifest.commit(state, cursor=last, folders=[*state["folders"], folder], embedded=state["embedded"] + n.good, failed=state["failed"] + n.bad, pages=state["pages"] + 1)
         elif not state["done"]:
             self.manifest.commit(state, done=True)
-        scratch.let_go(page)
         return last is not None
 
     def run(self, rows: DataFrame, model: Model, batch: int = NATIVE_BATCH, budget: int | None = None) -> dict:
