@@ -96,9 +96,23 @@ def pending(documents: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     return documents.join(have, ["document_id", "revision"], "left_anti")
 
 
+#: Rows of the larger side of a join that a task sorts.
+JOIN_ROWS = 1 << 21
+
+
+def _dealt(keys: list[str], *sides: DataFrame) -> tuple[DataFrame, ...]:
+    """The sides of a join by its keys, over so many tasks that the rows of one don't grow with the tables."""
+    spark = sides[0].sparkSession
+    tasks = max(-(-side.count() // JOIN_ROWS) for side in sides)
+    if tasks <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return sides
+    return tuple(side.repartition(tasks, *keys) for side in sides)
+
+
 def fenced(results: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(current, stale) of results(document_id, revision, ...): late work on an older revision is dropped."""
     now = documents.select("document_id", "revision")
+    results, now = _dealt(["document_id", "revision"], results, now)
     return results.join(now, ["document_id", "revision"], "left_semi"), results.join(now, ["document_id", "revision"], "left_anti")
 
 
