@@ -61,22 +61,24 @@ def substantially_overlaps(left: Column, right: Column) -> Column:
 def select_fused(ranked: DataFrame, passages: DataFrame, per_document: int = PER_DOCUMENT, most: int = RESULTS) -> DataFrame:
     """Fused ranks cut to ``per_document`` passages of each document without substantial overlap.
 
-    ranked(query_id, id, score, place, ...) and passages(id, document_id, text). Both limits look at one
-    document only, so groups are (query, document): at most the 200 ranked rows of a query.
+    ranked(query_id, id, score, place, ...) and passages(id, document_id, text). A group is a query's ranked
+    rows, at most 200, of many documents with a row or two each.
     """
     columns = [c for c in ranked.columns if c != "place"]
     # the ranked rows go to the passages, of which only they move on
     joined = passages.select("id", "document_id", "text").join(F.broadcast(ranked), "id").select("document_id", "text", "place", *columns)
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        keep: list[int] = []
-        ordered = group.sort_values("place", kind="stable").reset_index(drop=True)
-        for i, text in enumerate(ordered["text"]):
-            if len(keep) < per_document and not any(_overlap(ordered["text"][j], text) for j in keep):
-                keep.append(i)
-        return ordered.iloc[keep]
-
-    kept = joined.groupBy("query_id", "document_id").applyInPandas(greedy, joined.schema)
+        keep: dict[object, list[str]] = {}
+        ordered, at = group.sort_values("place", kind="stable"), []
+        for i, (document, text) in enumerate(zip(ordered["document_id"], ordered["text"])):
+            texts = keep.setdefault(document, [])
+            if len(texts) < per_document and not any(_overlap(t, text) for t in texts):
+                texts.append(text)
+                at.append(i)
+        return ordered.iloc[at]
+
+    kept = joined.groupBy("query_id").applyInPandas(greedy, joined.schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return kept.withColumn("place", place).where(F.col("place") <= most)
 
