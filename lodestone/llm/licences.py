@@ -169,7 +169,7 @@ TRIGGER = r"(?i)licen[sc]e|rights[^\p{L}\p{N}]+reserved|permission[^\p{L}\p{N}]+
 #: Words of sentences and names that TRIGGER doesn't have; of its own it has those of the GNU and Commons names.
 WORDS = r"advertising|endorse|as[^\p{L}\p{N}]+is\b|mention|retain|reproduce|redistribute|permission|without[^\p{L}\p{N}]+warranty|unencumbered|subject[^\p{L}\p{N}]+to|waiving|compliance|mozilla|apache|(?<![\p{L}\p{N}])mpl|(?<![\p{L}\p{N}])bsd|(?<![\p{L}\p{N}])isc(?![\p{L}\p{N}])|eclipse|boost|zlib|wtfpl|artistic|open[^\p{L}\p{N}]+database|python[^\p{L}\p{N}]+software|common[^\p{L}\p{N}]+development|cddl|(?<![\p{L}\p{N}])psf|general[^\p{L}\p{N}]+public"
 #: "mit" is a word of other languages: it names a licence after a notice only.
-NOTICED = r"(?s)(?:under|by|subject|licen[sc]es)[^\p{L}\p{N}].*(?<![\p{L}\p{N}])mit(?![\p{L}\p{N}])"
+NOTICED = r"(?s)\A(?=.*?(?:under|by|subject|licen[sc]es)[^\p{L}\p{N}]).*?(?<![\p{L}\p{N}])mit(?![\p{L}\p{N}])"
 
 #: What may stand before a licence's first words without a stop: a title and a copyright line.
 LEAD = r"^.+? (?=permission is hereby granted |permission to use copy |redistribution and use in |this source code form is |this is free and unencumbered )"
