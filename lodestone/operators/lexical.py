@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import question_terms, required_terms, tokens
 
 K1, B = 1.2, 0.75
-BROAD, RESULTS, RELAX_BELOW = 10_000, 100, 3
+RESULTS, RELAX_BELOW = 100, 3
 DOCUMENT_WEIGHTS = {"title": 4.0, "body": 1.0}
 PASSAGE_WEIGHTS = {"heading": 2.0, "text": 1.0, "symbols": 1.0}
 
@@ -94,19 +94,23 @@ def _required(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(required_terms(F.col("text"))).alias("term"))
 
 
-def search_documents(index: WordIndex, queries: DataFrame, most: int = RESULTS, broad: int = BROAD) -> DataFrame:
+def search_documents(index: WordIndex, queries: DataFrame, most: int = RESULTS, broad: int | None = None) -> DataFrame:
     """(query_id, id, rank, limited, place): documents with all terms of queries(query_id, text).
 
-    A query with a term in more than ``broad`` documents is limited: newest ids, rank 0. Otherwise the newest
-    ``broad`` + 1 matches are ranked (rank is minus BM25, smaller first); more matches than that mark it limited.
+    All of them are ranked (rank is minus BM25, smaller first). If ``broad`` is given, a query with a term in more than
+    ``broad`` documents is limited: newest ids, rank 0. Otherwise the newest ``broad`` + 1 matches are ranked; more
+    matches than that mark it limited.
     """
     terms = _required(queries)
     hits, facts = scored(index, terms)
+    if broad is None:
+        ranked = _strict(terms, hits).select("query_id", "id", (-F.round("score", 9)).alias("rank"), F.lit(False).alias("limited"))
+        return _top(ranked, [F.col("rank"), F.desc("id")], most)
     wide = terms.join(facts, "term").groupBy("query_id").agg((F.max("df") > broad).alias("wide"))
     newest = _top(_strict(terms, hits).join(wide, "query_id"), [F.desc("id")], broad + 1)
     full = F.count("*").over(Window.partitionBy("query_id")) > broad
     ranked = newest.select("query_id", "id", F.when(F.col("wide"), 0.0).otherwise(-F.round("score", 9)).alias("rank"), (F.col("wide") | full).alias("limited"))
-    return _top(ranked, [F.col("rank"), F.desc("id")], min(most, RESULTS))
+    return _top(ranked, [F.col("rank"), F.desc("id")], most)
 
 
 def search_any(index: WordIndex, queries: DataFrame, most: int = RESULTS) -> DataFrame:

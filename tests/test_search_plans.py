@@ -63,3 +63,30 @@ def test_cells_of_several_parts_and_blocks_of_any_shape_give_the_exact_rows(spar
     monkeypatch.setattr(neighbours, "ROWS_AT_ONCE", 9)
     best.add(np.arange(58), v[::7], np.arange(400), v)
     assert sorted((7 * q, place, int(i)) for q, row in enumerate(best.i) for place, i in enumerate(row, 1)) == want
+
+
+def test_documents_with_terms_in_more_than_ten_thousand_are_ranked(spark, tmp_path):
+    words = lambda i: f"alpha{' beta' * (i % 5)}{' gamma' * (i % 41 == 0)}\n{'alpha ' * (i % 7)}{'delta ' * (i % 3)}"
+    docs = spark.createDataFrame([(i, words(i), "notes") for i in range(10_300)], "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma delta"), (3, "alpha"), (4, "beta gamma")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "asked"))
+    for folder, name in (("made", "documents"), ("asked", "benchmark")):
+        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    same_as_sql(spark, tmp_path, "bm25_documents")
+    found = QUERIES["bm25_documents"](spark, str(tmp_path)).collect()
+    assert len(found) == 400 and not any(r.limited for r in found)
+    # the query of two terms, one of them in all documents, is ranked by both
+    best = sorted((r for r in found if r.query_id == 2), key=lambda r: r.place)
+    assert all(r.rank < 0 for r in best) and best != sorted(best, key=lambda r: -r.id)
+
+
+def test_more_documents_than_a_hundred_are_given_if_asked_for(spark, tmp_path):
+    from lodestone.operators import lexical, lexical_blocks
+
+    docs = spark.createDataFrame([(i, "", "word " * (i % 9 + 1)) for i in range(130)], "id long, title string, body string")
+    asked = spark.createDataFrame([(1, "word")], "query_id long, text string")
+    blocks = lexical_blocks.build(docs, "id", lexical.DOCUMENT_WEIGHTS, str(tmp_path / "index"))
+    plain = lexical.word_index(docs, "id", lexical.DOCUMENT_WEIGHTS)
+    listed = lambda df: sorted((r.place, r.id, r.limited) for r in df.collect())
+    assert len(listed(blocks.search_documents(asked, 130))) == 130
+    assert listed(blocks.search_documents(asked, 130)) == listed(lexical.search_documents(plain, asked, 130))
