@@ -65,3 +65,30 @@ def test_chunked_table(spark):
     rows = spark.createDataFrame([(1, "/a/b.md", "x\n\ny"), (2, "/c.rs", "fn a() {}"), (3, "/d.md", None)], "document_id long, path string, body string")
     out = chunked(rows.withColumn("kind", kind_of(F.col("path"), F.lit(False)))).collect()
     assert sorted((r.document_id, r.ordinal) for r in out) == [(1, 0), (2, 0)]
+
+
+def test_whole_texts_are_cut_into_passages():
+    # more than 400 passages and more than 2 MiB, in paragraphs, in one long line and as code
+    many = "".join(f"Paragraph number {n} of a long note.\n\n" for n in range(70_000))
+    found, cut = chunks("prose", many)
+    assert not cut and len(many) > 2 * 1024 * 1024 and len(found) > 400
+    assert "number 69999 of" in found[-1][4] and [c[0] for c in found] == list(range(len(found)))
+    wall = "é" * 1_500_000
+    found, cut = chunks("prose", wall)
+    assert not cut and "".join(c[4] for c in found) == wall
+    code = "".join(f"def f{n}():\n    return {n}\n" for n in range(120_000))
+    found, cut = chunks("code", code)
+    assert not cut and len(code) > 2 * 1024 * 1024 and found[-1][4].endswith("return 119999")
+
+
+def test_passages_of_one_long_text_are_sent_on_in_parts(spark, monkeypatch):
+    from lodestone.functions import chunking
+
+    body = "".join(f"Paragraph number {n} of a long note.\n\n" for n in range(20_000))
+    rows = spark.createDataFrame([(1, "prose", body), (2, "prose", "short"), (3, "prose", body)], "document_id long, kind string, body string")
+    found = chunked(rows).orderBy("document_id", "ordinal").collect()
+    want = [(key, *c) for key in (1, 2, 3) for c in chunks("prose", "short" if key == 2 else body)[0]]
+    assert [tuple(r)[:-1] for r in found] == want and not any(r.truncated for r in found) and len(want) > 1400
+    # a ceiling that is asked for still holds, and is told
+    few = chunked(rows, Limits(max_chunks=3)).groupBy("document_id").agg(F.count("*").alias("n"), F.bool_or("truncated").alias("cut")).collect()
+    assert sorted(map(tuple, few)) == [(1, 3, True), (2, 1, False), (3, 3, True)]
